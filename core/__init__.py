@@ -1,0 +1 @@
+"""Operators over the project's tables, one module per problem of TESTDATA.md."""

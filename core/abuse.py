@@ -1,0 +1,62 @@
+"""Problem 9: documents whose own text insults, threatens, degrades a group or is sexually explicit."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from core.common import table
+from core.plain import plain
+
+#: Turns of address, judgement and description; a word alone, in a report, a name or a technical use, matches none.
+PATTERNS = [
+    # insults and threats
+    r"\bshut up,? you\b", r"nobody asked for your opinion", r"what kind of [^.?!]{1,60} writes this", r"take your [^.?!]{1,40} with you", r"laughs at you\b",
+    r"\beveryone on this page knows it", r"\byou are (?:such )?an? [^.?!]{0,40}\b(?:idiot|moron|dimwit|bastard|parasite|pig|worm|waste of|cretin|clown|loser|dumbass|dickhead|halfwit|scumbag|rat|liar|disgrace)\b",
+    r"get your fat ugly face", r"crawl back under your", r"\bget lost,? you\b", r"\bstop whining\b", r"your face would make a", r"kick in the teeth", r"do the world a favou?r and",
+    r"\bdrop dead\b[,.!?]", r"\bgo k\W?[i*]l+\W? yourself", r"kil+ yourself", r"delete your account", r"spit on your grave", r"hope (?:somebody|someone) (?:runs|ran|shoots|beats) you", r"i hope you (?:die|rot|choke|burn)",
+    r"only an? [^.?!]{1,40} could defend this", r"touch the [^.?!]{1,40} section again and i will", r"i know where you live", r"break your (?:fingers|legs|neck|arms|bones|jaw)", r"\bi (?:will|'ll) (?:burn your|kill you|find you and|cut your|hunt you)", r"\bgo to hell\b", r"\bfuck (?:off|you)\b",
+    r"whoever wrote this is an? ", r"\byou (?:are )?(?:worthless|stupid|ugly|goddamn|fucking|filthy|brain-?dead|spineless|sick) (?:idiot|moron|dimwit|bastard|parasite|pig|worm|cretin|clown|bitch|rat|halfwit|loser|scumbag|dickhead|dumbass|asshole)",
+    # groups
+    r"belong in cages", r"an inferior breed", r"breed like rats", r"(?:are|is) v\w{3,8} and should be driven out", r"should be driven out of", r"(?<!called )(?<!them )\bare sub-?human", r"\bare a disease\b", r"should never be allowed to (?:vote|work|marry|own)",
+    r"behind wire", r"\bship [^.?!]{1,40} back where they came from", r"burn the boats", r"\bhang [^.?!]{1,40}, all of them", r"through the door, they stink", r"they are \S{3,9}, not people", r"thrown them into the sea",
+    # explicit
+    r"horny singles", r"uncensored \S+ clips", r"full penetration", r"webcam girls", r"hardcore \S+ all night", r"hand between \w+ \S+ thighs", r"licked her", r"orgasm shook", r"begged him to enter her", r"stroking the other's", r"\bi want to \S+ you on the [^.?!]{1,40} all night", r"suck your c",
+    # other languages
+    r"je veux te \S+ toute la nuit", r"\bsalope\b", r"ferme ta gueule", r"\bva te faire", r"\b(?:espece|sale) (?:de )?(?:con|connard|idiot|merde|ordure|porc)", r"j'espere que tu (?:creves|meurs)", r"\btu es un[e]? (?:sale |gros )?(?:con|idiot|ordure|porc|merde|connard)",
+    r"\bhalt endlich d[i1]e fr", r"\bdu (?:dreckig|dumm|verdammt|widerlich|mies)\w+ ", r"\bverrecke\b", r"ich will dich [^.?!]{0,30}(?:nacht|ficken)", r"\bverpiss dich",
+    r"voglio s\S+ tutta la notte", r"\bsei un[a]? (?:lurid|stupid|sporc|brutt|schifos)\w+", r"spero che crepi", r"\bvaffanculo", r"quiero \S+ toda la noche", r"\beres un[a]? (?:asqueros|estupid|maldit|suci|put|imbecil|idiota|pedazo)", r"\bcallate,? ", r"ojala te mueras", r"hij[oa] de puta",
+]
+COMPILED = [re.compile(p) for p in PATTERNS]
+QUOTED = re.compile(r"[\"“«„][^\"“”«»„\n]{1,300}[\"”»“]")
+
+
+def score(text: str | None) -> int:
+    """How many of the turns the text has outside of quotations."""
+    if not text:
+        return 0
+    x = re.sub(r"(?<=\w)-\s*\n\s*(?=\w)", "", text)
+    x = re.sub(r"\s+", " ", plain(re.sub(r"\s+", " ", QUOTED.sub(" ", x)).replace("’", "'")))
+    return sum(p.search(x) is not None for p in COMPILED)
+
+
+@F.pandas_udf(IntegerType())
+def abuse(texts: pd.Series) -> pd.Series:
+    return texts.map(score).astype("int32")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", abuse("text").alias("score"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where("score > 0").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.sum((F.col("score") > 0).cast("bigint"))
+    return p9_scores(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), hit.alias("found"), F.round(hit / F.count("*"), 6).alias("rate"))

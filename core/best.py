@@ -1,0 +1,18 @@
+"""Problem 5: the best passages and paths of each question."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from core.common import scored, table
+
+
+def best(rows: DataFrame, item: str, kind: str, k: int) -> DataFrame:
+    one = rows.where(scored(F.col("score"))).groupBy("question_id", F.col(item).alias("item_id")).agg(F.max("score").alias("score"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("item_id"))
+    return one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(F.lit(kind).alias("kind"), "question_id", "item_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best(table(spark, sf_dir, "passages"), "chunk_id", "passage", 5).union(best(table(spark, sf_dir, "paths"), "path_id", "path", 3))

@@ -1,0 +1,29 @@
+"""What several operators share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the plan at files that all executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
+def words(text: Column) -> Column:
+    """Lower-cased maximal runs of letters and digits, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def scored(score: Column) -> Column:
+    return score.isNotNull() & ~F.isnan(score)

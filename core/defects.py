@@ -1,0 +1,154 @@
+"""Problem 4: answers that are unusable, with the kind of their defect."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from core.common import table
+from core.plain import folded
+
+MONTHS = "january february march april may june july august september october november december".split()
+REFUSAL = re.compile(
+    r"\b(?:i|we) (?:can ?not|can't|could ?n[o']t|won't|will not|must decline|am not able|are not able|am unable|are unable|do not wish|don't want|refuse|prefer not|decline|have to decline|would rather not|will pass|shall not)\b|i'd rather not|rather not say|no answer can be given|not be appropriate for me|"
+    r"so i will pass|lets me answer|as an? (?:ai|language model)|please consult another source|not (?:allowed|permitted) to (?:answer|say|share)|against my (?:rules|guidelines)|unable to (?:answer|help|assist)|"
+    r"je ne (?:peux|veux|suis)|kann (?:ich )?(?:das|diese frage|darauf|dazu)? ?nicht|no puedo (?:responder|contestar)|non posso rispondere|nao posso"
+)
+#: Words that only sentences of the language have.
+LANGUAGES = {
+    "de": "der die das ist wurde war nein ja sie kommen aus gesuchte lautet antwort geboren gestorben januar februar marz mai juni juli oktober dezember laut und nicht",
+    "fr": "le la les est il elle s'agit d'apres oui non reponse c'est janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre selon passage ne nee",
+    "es": "fue segun respuesta si enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre texto correcta nacio murio los ambos",
+    "it": "il stato secondo risposta gennaio febbraio aprile maggio giugno luglio agosto settembre ottobre dicembre testo lo si no nacque",
+    "pt": "resposta correta sim nao janeiro fevereiro marco abril maio junho julho agosto setembro outubro novembro dezembro segundo foi nasceu",
+    "nl": "het antwoord ja nee volgens januari februari maart mei juni juli augustus oktober tekst zij uit werd geboren",
+    "sv": "svaret ar enligt texten ja nej januari februari mars maj juni juli augusti oktober foddes",
+    "pl": "odpowiedz wedlug tak nie stycznia lutego marca kwietnia maja czerwca lipca sierpnia wrzesnia pazdziernika listopada grudnia tekstu",
+    "cs": "odpovedi je podle textu ano ne ledna unora brezna dubna kvetna cervna cervence srpna rijna listopadu prosince",
+    "en": "the answer is was it according to of by and from as which they because says both that this page in on",
+}
+LANGUAGES = {k: set(v.split()) for k, v in LANGUAGES.items()}
+WRAP = re.compile(r"^(?:\s|\*|\"|'|“|”|(?:final )?answer\s*:|you asked\s*:|question\s*:|q\s*:|response\s*:)+", re.I)
+#: A sentence does not end with these.
+OPEN = set("a an the of by in on at for to from with and or but because that which while where who whose it its is was were are be been as we he she they this these first two".split())
+LONE = {"oui": "fr", "non": "fr", "ja": "de", "nein": "de", "si": "es", "sim": "pt", "nao": "pt", "nee": "nl", "nej": "sv", "tak": "pl", "nie": "pl", "ano": "cs", "ne": "cs"}
+
+
+def words(s: str) -> list[str]:
+    return re.findall(r"[^\W_]+(?:'[^\W_]+)*", folded(s.replace("’", "'")))
+
+
+def asked_in(q: str) -> str:
+    w = set(words(q))
+    if w & {"wer", "wann", "wo", "hat", "ist", "vater", "mutter", "regie", "gefuhrt", "gegrundet", "wurde", "welche", "welcher"}:
+        return "de"
+    return "fr" if w & {"qui", "quand", "quel", "quelle", "est", "pere", "fonde", "realise", "mere"} else "en"
+
+
+def bare(s: str) -> str:
+    """Without what surrounds an answer."""
+    return WRAP.sub("", s).strip().strip("*\"'“”").strip()
+
+
+def without_names(s: str) -> str:
+    """Without names: runs of capitalised words with the small words inside them, the first word of all kept if it is small elsewhere."""
+    return re.sub(r"(?<=\s)[A-ZÀ-Þ][\w'-]*(?:[ :,]+(?:(?:of|and|the|for|von|di|to|der|la) )*[A-ZÀ-Þ][\w'-]*)*", " ", s)
+
+
+def spoken(s: str, question: str) -> str | None:
+    """The language of an answer, None if it has none."""
+    letters = [c for c in s if c.isalpha()]
+    if letters and any(ord(c) > 0x2AF and not c.isascii() for c in letters if ord(c) < 0x1D00 or ord(c) > 0x1EFF):
+        return "script"
+    w = words(without_names(s))
+    if len(w) == 1:
+        return LONE.get(w[0], "en" if w[0] in ("yes", "no") else None)
+    known = set(words(question)) if asked_in(question) == "en" else set()
+    best, n = None, 0
+    for lang, marks in LANGUAGES.items():
+        k = sum(x in marks for x in w if lang == "en" or x not in known or x in ("de",))
+        if k > n:
+            best, n = lang, k
+    dated = re.fullmatch(r"\s*(?:le |den |el |il )?\d{1,2}[.º]?\s*(?:de )?([^\W\d_]+)\.?\s*(?:de )?\d{4}\W*", folded(s))
+    if dated:
+        return None if dated[1] in MONTHS else "other"
+    return best if n >= (2 if best == "en" else 1) and len(w) >= 2 else None
+
+
+def breaks_off(p: str, answer: str, known: bool, full: str | None) -> bool:
+    x = bare(p)
+    flat = lambda s: " ".join(words(s))
+    if full and full.startswith(x) and len(full) > len(x) and full[len(x)].isalnum() and x[-1:].isalnum():
+        return True
+    if x.count("(") > x.count(")") or x.endswith(("-", ",", ":", ";", "(", "–")):
+        return True
+    short = re.sub(r"\s*\([^()]*\)$", "", answer or "")
+    if flat(x) and flat(short) != flat(x) and flat(short).startswith(flat(x)) and not re.fullmatch(r"\d{4}", x):
+        return True
+    w = words(x)
+    if len(w) >= 4 and w[-1] in OPEN and not x.endswith((".", "!", "?")):
+        return True
+    if re.search(r"\(\d\)\W*$", x):
+        return True
+    date = re.search(r"\b\d{1,2} ([A-Z][a-z]*)?(?: (\d{0,4}))?$", x)
+    if date and re.fullmatch(r"\d{1,2}( \w+)?( \d*)?", x) and not (date[1] and date[1].lower() in MONTHS and len(date[2] or "") == 4):
+        return True
+    last = re.search(r"(\w+)[.\"*]*$", x)
+    return bool(last and last[1][0].isupper() and not x.endswith((".", "!", "?")) and not known)
+
+
+def defect(question: str, answer: str, prediction: str | None, raw: str | None, known: bool, known_raw: bool) -> str | None:
+    p = bare(prediction or "") if any(c.isalnum() for c in bare(prediction or "")) else bare(raw or "")
+    if not any(c.isalnum() for c in p) or folded(p).strip(" .") in ("n/a", "none", "null", "nan", "no answer", "[empty]", "empty"):
+        return "empty"
+    if folded(p).strip(" .!") == "unknown":
+        return None
+    flat = re.sub(r"[^a-z0-9]", "", folded(p))
+    asked = re.sub(r"[^a-z0-9]", "", folded(re.sub(r"^(?:q|question|please tell me|quick one|do you know)\s*[:,-]\s*", "", question, flags=re.I)))
+    if asked and (flat == asked or asked in flat and len(flat) <= len(asked) + 25 or flat in asked and len(flat) > 0.7 * len(asked)):
+        return "copies_question"
+    low = folded(p.replace("’", "'"))
+    if REFUSAL.search(low):
+        return "refusal"
+    lang, own = spoken(p, question), asked_in(question)
+    if lang and lang != own and not (lang == "en" and own == "en"):
+        return "other_language"
+    head = (raw or "").split("\n\n")[0]
+    full = bare(head) if raw else None
+    if breaks_off(prediction if prediction and prediction.strip() else head, answer, known, full):
+        return "truncated"
+    if raw:
+        rest = raw.strip().split("\n\n")[1:]
+        if rest and len(words(rest[-1])) >= 3 and not rest[-1].rstrip(" *\"”").endswith((".", "!", "?", ")")):
+            return "truncated"
+        if not rest and breaks_off(raw, answer, known_raw, None):
+            return "truncated"
+    return None
+
+
+@F.pandas_udf(StringType())
+def defect_of(q: pd.Series, a: pd.Series, p: pd.Series, r: pd.Series, k: pd.Series, kr: pd.Series) -> pd.Series:
+    clean = lambda x: x if isinstance(x, str) else None
+    return pd.Series([defect(clean(q_) or "", clean(a_) or "", clean(p_), clean(r_), bool(k_), bool(kr_)) for q_, a_, p_, r_, k_, kr_ in zip(q, a, p, r, k, kr)], dtype=object)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "run_m1_generation")
+    q, e, c = (table(spark, sf_dir, t) for t in ("questions", "entities", "chunks"))
+    names = [runs.select("answer"), runs.select("question"), q.select("answer"), q.select(F.explode("gold_titles")), e.select("name"), c.select("title"), table(spark, sf_dir, "hub_entities").select("name")]
+    token = lambda x: F.regexp_extract_all(x, F.lit(r"\w+"), F.lit(0))
+    known = None
+    for n in names:
+        t = n.select(F.explode(token(F.col(n.columns[0]))).alias("last")).distinct()
+        known = t if known is None else known.union(t)
+    known = known.distinct()
+    last = lambda x: F.regexp_extract(F.col(x), r"(\w+)\W*$", 1)
+    cols = ["question", "answer", "prediction", "raw"]
+    one = runs.groupBy("answer_id").agg(*(F.max(x).alias(x) for x in cols)).withColumn("lp", last("prediction")).withColumn("lr", last("raw"))
+    one = one.join(known.select(F.col("last").alias("lp"), F.lit(True).alias("kp")), "lp", "left").join(known.select(F.col("last").alias("lr"), F.lit(True).alias("kr")), "lr", "left")
+    found = one.select("answer_id", defect_of(*cols, F.coalesce("kp", F.lit(False)), F.coalesce("kr", F.lit(False))).alias("defect"))
+    return found.where("defect is not null")

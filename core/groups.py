@@ -1,0 +1,40 @@
+"""Problem 2: groups of mentions linked by same-verdicts."""
+
+from __future__ import annotations
+
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from core.common import checkpoint, table, words
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of undirected edges (u, v), root the smallest node: alternating large and small stars until nothing changes."""
+    edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    before = None
+    while True:
+        both = edges.union(edges.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+        gc.collect()  # lets Spark drop the shuffles and checkpoints of the steps before
+        edges.sparkSession.sparkContext._jvm.System.gc()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = table(spark, sf_dir, "pilot_decisions").where(words(F.col("verdict")) == F.array(F.lit("same")))
+    links = same.where("a is not null and b is not null and a != b")
+    # numbers instead of long ids go through the steps; the ids come back at the end
+    roots = components(links.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")))
+    names = links.select(F.explode(F.array("a", "b")).alias("mention")).distinct().withColumn("node", F.xxhash64("mention"))
+    named = checkpoint(names.join(roots, "node").select("mention", "root"))
+    return named.join(named.groupBy("root").agg(F.min("mention").alias("group_id")), "root").select("mention", "group_id")

@@ -1,0 +1,129 @@
+"""Problem 6: mentions in spellings that their entity does not know."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
+
+from core.common import checkpoint, table
+from core.plain import folded, unleet
+
+#: Keys that more entities have tell nothing apart.
+COMMON = 200
+DROPPED = set("the of and mr mrs ms miss dr sir prof professor late dame lady lord country town city village capt captain rev inc republic".split())
+SHORT = {"rep": "", "univ": "university", "inst": "institute", "co": "company", "corp": "corporation", "st": "saint", "orch": "orchestra", "acad": "academy", "fc": "football club", "ltd": "", "tech": "technology", "pub": "publishing", "rly": "railway", "soc": "society"}
+NICK = {
+    "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "bill": "william", "billy": "william", "will": "william", "bob": "robert", "rob": "robert", "bobby": "robert", "liz": "elizabeth", "betty": "elizabeth", "beth": "elizabeth", "lizzie": "elizabeth",
+    "kate": "katherine", "kathy": "katherine", "kitty": "katherine", "katie": "katherine", "fred": "frederick", "freddie": "frederick", "len": "leonard", "lenny": "leonard", "leo": "leonard", "josie": "josephine", "jo": "josephine", "charlie": "charles", "chuck": "charles",
+    "tom": "thomas", "tommy": "thomas", "nick": "nicholas", "mike": "michael", "mick": "michael", "dick": "richard", "rick": "richard", "rich": "richard", "joe": "joseph", "joey": "joseph", "sam": "samuel", "ed": "edward", "eddie": "edward", "ned": "edward", "alex": "alexander",
+    "sandy": "alexander", "ben": "benjamin", "greg": "gregory", "archie": "archibald", "theo": "theodore", "teddy": "theodore", "dot": "dorothy", "dolly": "dorothy", "dottie": "dorothy", "vicky": "victoria", "vic": "victoria", "sue": "susanna", "susie": "susanna", "bella": "isabella",
+    "pat": "patricia", "patty": "patricia", "trish": "patricia", "tilda": "matilda", "tilly": "matilda", "mattie": "matilda", "zach": "zachary", "zack": "zachary", "gabe": "gabriel", "ollie": "oliver", "aggie": "agnes", "cissy": "cecilia", "celia": "cecilia", "harry": "henry", "hank": "henry",
+}
+
+
+def unbracketed(x):
+    return F.regexp_replace(x, r"\s*\([^()]*\)\s*$", "")
+
+
+def spelled(x):
+    """The name as it is held against names and aliases: lower case, no trailing parenthesis, punctuation as blanks."""
+    return F.trim(F.regexp_replace(unbracketed(F.lower(x)), r"[^\p{L}\p{N}\p{M}]+", " "))
+
+
+@lru_cache(100_000)
+def parts(name: str) -> tuple[str, ...]:
+    s = re.sub(r"\s*\([^()]*\)\s*$", "", folded(name))
+    w = [re.sub(r"[^\w]|_", "", unleet(re.sub(r"'s$", "", x))) for x in re.split(r"[\s,.;:/&-]+", s)]
+    w = " ".join(SHORT.get(x, x) for x in w if x).split()
+    return tuple(x for x in w if x not in DROPPED) or tuple(w)
+
+
+def distance(a: str, b: str, most: int = 2) -> int:
+    """Edits with transpositions, most + 1 if there are more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            c = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+            if before and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                c = min(c, before[j - 2] + 1)
+            new.append(c)
+        if min(new) > most:
+            return most + 1
+        before, row = row, new
+    return row[-1]
+
+
+def likeness(m: str, e: str) -> int:
+    """0 if no spelling of the other, else the higher the closer."""
+    return 100 if m == e else 0 if min(len(m), len(e)) < 4 else max(0, (0, 90, 60)[2 if (d := distance(m, e)) == 2 and min(len(m), len(e)) >= 8 else 1 if d == 1 else 0])
+
+
+def given(m: str, e: str) -> int:
+    return 95 if NICK.get(m) == e else 80 if len(m) == 3 and e.startswith(m) else 70 if len(m) == 1 and e[:1] == m else likeness(m, e)
+
+
+def match(a: tuple[str, ...], b: tuple[str, ...], person: bool) -> int:
+    """How well the words of a mention's name agree with those of an entity's, in whatever order."""
+    if not a or not b:
+        return 0
+    one, two = "".join(a), "".join(b)
+    squeezed = 0 if len(a) == len(b) else {0: 99, 1: 85}.get(distance(one, two, 1), 0)
+    like = given if person else likeness
+    least, left = 100, list(b)
+    for x in sorted(a, key=len, reverse=True):
+        best = max(((like(x, y), y) for y in left), default=(0, ""))
+        if not best[0]:
+            return squeezed
+        least = min(least, best[0])
+        left.remove(best[1])
+    if left and not (person and len(left) == 1 and len(b) == 3 and left[0] == b[1] and any(len(x) == 1 for x in a)):
+        return squeezed
+    return max(squeezed, least - 15 * len(left))
+
+
+def keys(name: str) -> list[str]:
+    out = set()
+    for w in {*parts(name), "".join(parts(name))}:
+        if len(w) >= 4:
+            out |= {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+    return sorted(out)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def keys_of(names: pd.Series) -> pd.Series:
+    return names.map(keys)
+
+
+@F.pandas_udf(IntegerType())
+def agreement(m: pd.Series, e: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([match(parts(x), parts(y), t == "PERSON") for x, y, t in zip(m, e, kind)], dtype="int32")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["id", "name", "aliases", "type"]
+    both = table(spark, sf_dir, "entities").select(*cols).union(table(spark, sf_dir, "hub_entities").select(*cols)).where("id is not null")
+    known = (
+        both.select("id", "type", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+        .where("name is not null")
+        .groupBy("id", spelled(F.col("name")).alias("s"))
+        .agg(F.max("name").alias("name"), F.max("type").alias("type"))
+        .where("s != ''")
+    )
+    known = checkpoint(known)
+    mentions = table(spark, sf_dir, "mentions").where("id is not null and name is not null").select("id", "name", spelled(F.col("name")).alias("s")).distinct()
+    unknown = mentions.join(known.select("s").distinct(), "s", "left_anti")
+    names = checkpoint(unknown.where("s != ''").groupBy("s").agg(F.max("name").alias("m")))
+    ek = known.select("id", "name", "type", F.explode(keys_of("name")).alias("key"))
+    few = ek.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= COMMON).select("key")
+    met = names.select("s", "m", F.explode(keys_of("m")).alias("key")).join(ek.join(few, "key"), "key").select("s", "m", "id", "name", "type").distinct()
+    rated = met.withColumn("r", agreement("m", "name", "type")).where("r > 0").groupBy("s", "id").agg(F.max("r").alias("r"))
+    top = rated.withColumn("t", F.max("r").over(Window.partitionBy("s"))).where("r = t").groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("entity_id")).where("n = 1")
+    return unknown.join(top, "s").select(F.col("id").alias("mention_id"), "entity_id").distinct()

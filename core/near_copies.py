@@ -1,0 +1,60 @@
+"""Problem 1: pairs of chunks whose word sets agree, by an exact prefix-filtered join."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from core.common import checkpoint, table, words
+
+
+def near_copies(chunks: DataFrame) -> DataFrame:
+    """(id_a, id_b): |a & b| >= 0.7 |a | b| of the distinct words.
+
+    Such a pair has at least ceil(0.7 n) words in common, so that the rarest n - ceil(0.7 n) + 1 words
+    of either chunk share one; only those are joined. Chunks of the same words are joined once as a group.
+    """
+    one = (
+        chunks.where("id is not null and trim(text) != ''")
+        .select("id", F.array_sort(F.array_distinct(words(F.col("text")))).alias("w"))
+        .where("size(w) > 0")
+        .groupBy("id")
+        .agg(F.max("w").alias("w"))
+    )
+    one = checkpoint(one.select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("w")))
+    sets = one.groupBy(F.array_sort("w").alias("w")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    sets = checkpoint(sets.withColumn("k", F.element_at("ids", 1)))
+    df_of = sets.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ranked = (
+        sets.select("k", F.explode("w").alias("t"))
+        .join(df_of, "t")
+        .groupBy("k")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+        .select("k", F.size("s").alias("n"), F.col("s.t").alias("s"))
+    )
+    keep = F.expr("n - ceil(n * 7 / 10) + 1").cast("int")
+    post = checkpoint(ranked.select("k", "n", F.posexplode(F.slice("s", 1, keep)).alias("i", "t")))
+    a, b = (post.select("t", *(F.col(c).alias(f"{c}{s}") for c in ("k", "n", "i"))) for s in "ab")
+    # the first common word of the rarest ones bounds what can follow it in either set
+    pairs = (
+        a.join(b, "t")
+        .where("ka < kb and na * 10 >= nb * 7 and nb * 10 >= na * 7")
+        .where("(least(na - ia, nb - ib) + least(ia, ib)) * 17 >= (na + nb) * 7")
+        .select("ka", "kb")
+        .distinct()
+    )
+    wa, wb = (sets.select(F.col("k").alias(f"k{s}"), F.col("w").alias(f"w{s}"), F.col("ids").alias(f"ids{s}")) for s in "ab")
+    both = F.size(F.array_intersect("wa", "wb"))
+    far = (
+        pairs.join(wa, "ka")
+        .join(wb, "kb")
+        .where(both * 17 >= (F.size("wa") + F.size("wb")) * 7)
+        .select(F.explode("idsa").alias("x"), "idsb")
+        .select("x", F.explode("idsb").alias("y"))
+    )
+    same = sets.where("size(ids) > 1").select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where("x < y")
+    return far.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "chunks"))

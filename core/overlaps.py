@@ -1,0 +1,117 @@
+"""Problem 3: test records and report mentions that the training side holds too."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from core.common import checkpoint, table, words
+
+GERMAN = ["wer", "wann", "wo", "welche", "welcher", "welches", "wurde", "hat", "ist", "vater", "mutter", "regie", "geführt", "gegründet", "geboren", "bei"]
+FRENCH = ["qui", "quand", "où", "quel", "quelle", "est", "père", "mère", "fondé", "réalisé", "né", "née", "mort", "composé"]
+#: Words that a description may have or not without stating anything else.
+SLIGHT = ["a", "an", "the", "one", "here", "teh", "hte", "th", "te"]
+HUB = 200
+
+
+def language(text: Column) -> Column:
+    w = words(text)
+    has = lambda known: F.arrays_overlap(w, F.array(*map(F.lit, known)))
+    return F.when(has(GERMAN), "de").when(has(FRENCH), "fr").otherwise("en")
+
+
+def hex_id(x: Column) -> Column:
+    """An id without braces, hyphens, blanks and prefixes, its last 32 hexadecimal digits."""
+    return F.regexp_extract(F.regexp_replace(F.lower(x), r"[^0-9a-z]", ""), r"([0-9a-f]{32})$", 1)
+
+
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")]
+
+
+def same_questions(questions: DataFrame) -> DataFrame:
+    # evidences of a comparison may stand in either order; no two chains have the same relations in different order
+    fact = [F.array_sort(F.array_distinct("gold_titles")), F.array_sort(F.transform("evidences", lambda e: e[1])), language(F.col("question"))]
+    key = questions.select("id", "split", F.struct(*fact).alias("key")).where("key.col1 is not null and key.col2 is not null")
+    train = key.where("split = 'train'").select("key", F.col("id").alias("a")).distinct()
+    held = key.where("split in ('dev', 'test')").select("key", F.col("id").alias("b")).distinct()
+    return train.join(held, "key").where("a != b").select(F.lit("question").alias("kind"), *ordered("a", "b"))
+
+
+def named_sources(questions: DataFrame) -> DataFrame:
+    test = questions.where("type = 'single_hop' and split = 'test'").select(F.col("id").alias("a"), hex_id(F.col("source_question_id")).alias("key")).where("key != ''").distinct()
+    train = questions.where("split = 'train'").select(F.col("id").alias("b"), hex_id(F.col("id")).alias("key")).where("key != ''").distinct()
+    return test.join(train, "key").where("a != b").select(F.lit("source").alias("kind"), *ordered("a", "b"))
+
+
+def statement(text: Column) -> Column:
+    """The words that carry a description's statement, numbers without separators."""
+    x = F.regexp_replace(F.lower(text), r"\(see text\)|,? as stated\W*$", " ")
+    x = F.regexp_replace(x, r"(?<=\d)\s*,\s*(?=\d{3})", "")
+    return F.filter(words(x), lambda w: ~w.isin(SLIGHT))
+
+
+def same_statements(mentions: DataFrame) -> DataFrame:
+    """Statements agree if all words do but two at most, which are each other's misspellings and not both words of the vocabulary.
+
+    Rows of one statement are one; the others of a name meet by every third word, or, under a name of
+    many statements, by all words but two.
+    """
+    rows = (
+        mentions.where("split in ('tune', 'report') and name is not null and description is not null")
+        .select("id", "split", F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))).alias("name"), statement(F.col("description")).alias("w"))
+        .where("size(w) > 0")
+    )
+    one = rows.groupBy("name", "w").agg(
+        F.collect_set(F.when(F.col("split") == "tune", F.col("id"))).alias("tune"), F.collect_set(F.when(F.col("split") == "report", F.col("id"))).alias("report")
+    )
+    one = checkpoint(one.withColumn("k", F.xxhash64("name", "w")))
+    pair = lambda df: df.select(F.explode("tune").alias("a"), "report").select("a", F.explode("report").alias("b")).where("a != b")
+    same = pair(one.select("tune", "report"))
+
+    total = one.count()
+    known = [r.t for r in one.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").count().where(F.col("count") >= max(5, total // 1000)).collect()]
+    sides = [(F.size(x) > 0).alias(f"is_{x}") for x in ("tune", "report")]
+    of_name = F.struct("k", "w", *sides)
+    many = one.groupBy("name").agg(F.count("*").alias("c"), F.max(F.size("tune")).alias("ct"), F.max(F.size("report")).alias("cr")).where("c > 1 and ct > 0 and cr > 0")
+    keyed = one.select("name", of_name.alias("o")).join(many.select("name", (F.col("c") > HUB).alias("hub")), "name").select("name", "hub", "o.*").withColumn("n", F.size("w"))
+    thirds = keyed.where("not hub").select("k", "is_tune", "is_report", F.explode(F.expr("transform(sequence(0, 2), j -> xxhash64(name, n, j, filter(w, (x, i) -> i % 3 = j)))")).alias("key"))
+    left = "flatten(transform(sequence(0, n - 2), i -> transform(sequence(i + 1, n - 1), j -> xxhash64(name, n, i, j, filter(w, (x, p) -> p != i and p != j)))))"
+    without = keyed.where("hub and n > 1").select("k", "is_tune", "is_report", F.explode(F.expr(left)).alias("key"))
+    keys = thirds.union(without)
+    tune, report = (keys.where(f"is_{s}").select("key", F.col("k").alias(f"k{s}")) for s in ("tune", "report"))
+    met = tune.join(report, "key").where("ktune != kreport").select("ktune", "kreport").distinct()
+    met = checkpoint(met)
+    few = checkpoint(one.join(met.select(F.col("ktune").alias("k")).union(met.select("kreport")).distinct(), "k", "left_semi"))
+    a = few.select(F.col("k").alias("ktune"), F.col("name").alias("na"), F.col("w").alias("wa"), "tune")
+    b = few.select(F.col("k").alias("kreport"), F.col("name").alias("nb"), F.col("w").alias("wb"), "report")
+    vocabulary = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
+    unlike = F.filter(F.arrays_zip("wa", "wb"), lambda z: z["wa"] != z["wb"])
+    both = lambda z: F.array_contains(vocabulary, z["wa"]) & F.array_contains(vocabulary, z["wb"])
+    numeral = lambda z: z["wa"].rlike(r"\d") | z["wb"].rlike(r"\d")
+    slip = lambda z: (F.levenshtein(z["wa"], z["wb"]) <= 2) & (F.least(F.length(z["wa"]), F.length(z["wb"])) >= 3) & ~numeral(z) & ~both(z)
+    near = met.join(a, "ktune").join(b, "kreport").where("na = nb and size(wa) = size(wb)").withColumn("d", unlike).where(F.size("d") <= 2).where(F.forall("d", slip))
+    return same.union(pair(near.select("tune", "report"))).select(F.lit("mention").alias("kind"), *ordered("a", "b"))
+
+
+def overlaps(questions: DataFrame, mentions: DataFrame) -> DataFrame:
+    return same_questions(questions).union(named_sources(questions)).union(same_statements(mentions)).distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "questions"), table(spark, sf_dir, "mentions"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, split, source, records, overlapping): the held-out records and those with an overlap; mentions have no source."""
+    q, m = table(spark, sf_dir, "questions"), table(spark, sf_dir, "mentions")
+    found = overlaps(q, m)
+    ids = found.select("kind", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    held = (
+        q.where("split in ('dev', 'test')").select(F.lit("question").alias("kind"), "split", "source", "id")
+        .union(q.where("type = 'single_hop' and split = 'test'").select(F.lit("source"), "split", "source", "id"))
+        .union(m.where("split = 'report'").select(F.lit("mention"), "split", F.lit(None).cast("string"), "id"))
+        .distinct()
+    )
+    hit = held.join(ids.withColumn("hit", F.lit(1)), ["kind", "id"], "left")
+    return hit.groupBy("kind", "split", "source").agg(F.countDistinct("id").alias("records"), F.countDistinct(F.when(F.col("hit") == 1, F.col("id"))).alias("overlapping"))

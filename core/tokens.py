@@ -1,0 +1,103 @@
+"""Problems 7 and 8: token ids by byte_bpe_50k, and a mixture of the sources by their tokens."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+from core.common import checkpoint, table
+
+
+@cache
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    return t
+
+
+def encoded(texts: pd.Series) -> list[list[int]]:
+    out: list[list[int]] = []
+    for i in range(0, len(texts), 64):
+        out += [e.ids for e in tokenizer().encode_batch(texts.iloc[i : i + 64].fillna("").tolist(), add_special_tokens=False)]
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def token_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series(encoded(texts), dtype=object)
+
+
+@F.pandas_udf(IntegerType())
+def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([len(x) for x in encoded(texts)], dtype="int32")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", token_ids("text").alias("ids"))
+
+
+def place(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id)
+
+
+def mixture(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with how often each is used, and the shares reached per source.
+
+    The mixture is the largest whose sources all reach their share without a document beyond max_repeats. Each
+    document is used floor(wanted / tokens) times; the rest comes from the documents in hash order, those above a
+    hundredth of the wanted tokens last, and the one that would pass the wanted tokens is left out.
+    """
+    docs = checkpoint(
+        documents.where(F.col("source").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}\p{C}]"))
+        .join(F.broadcast(targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most"))), "source")
+        .select("doc_id", "source", "share", "most", n_tokens("text").cast("bigint").alias("n"))
+    )
+    held = docs.groupBy("source", "share", "most").agg(F.sum("n").alias("held"), F.count("*").alias("documents")).where("held > 0")
+    total = held.agg(F.min(F.col("held") * F.col("most") / F.col("share")).alias("total"))
+    # the exact limit is reached by the scarcest source only, for which division must not lose a token
+    plan = (
+        held.crossJoin(F.broadcast(total))
+        .withColumn("wanted", F.least(F.round(F.col("total") * F.col("share")).cast("bigint"), F.col("held") * F.col("most")))
+        .withColumn("every", F.expr("wanted div held"))
+        .withColumn("rest", F.expr("wanted - every * held"))
+    )
+    size_class = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") * 100 / F.col("wanted"))))
+    docs = docs.where("n > 0").join(F.broadcast(plan.select("source", "wanted", "every", "rest")), "source")
+    docs = docs.withColumn("bucket", size_class * 4096 + F.pmod(place(F.col("doc_id")), F.lit(4096)))
+    per = docs.groupBy("source", "bucket").agg(F.sum("n").alias("b"))
+    cut = per.select("source", "bucket", (F.sum("b").over(Window.partitionBy("source").orderBy("bucket")) - F.col("b")).alias("before"), "b")
+    placed = docs.join(cut, ["source", "bucket"])
+    whole = placed.where("before + b <= rest or before >= rest").withColumn("more", F.expr("before + b <= rest").cast("int"))
+    edge = placed.where("before + b > rest and before < rest")
+    upto = Window.partitionBy("source", "bucket").orderBy(place(F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = edge.withColumn("more", (F.col("before") + F.sum("n").over(upto) <= F.col("rest")).cast("int"))
+    cols = ["doc_id", "source", "n", (F.col("every") + F.col("more")).cast("int").alias("times")]
+    used = whole.select(*cols).union(edge.select(*cols)).where("times > 0")
+    got = used.groupBy("source").agg(F.sum(F.col("n") * F.col("times")).alias("tokens_used"), F.max("times").alias("times_most"))
+    whole_mix = got.agg(F.sum("tokens_used").alias("all_tokens"))
+    shares = (
+        plan.join(got, "source")
+        .crossJoin(F.broadcast(whole_mix))
+        .select("source", F.col("share").alias("target_share"), F.col("most").alias("max_repeats"), "documents", F.col("held").alias("tokens_held"), "tokens_used", "times_most", F.round(F.col("tokens_used") / F.col("all_tokens"), 6).alias("reached_share"))
+    )
+    return used.select("doc_id", "source", F.col("n").alias("n_tokens"), "times"), shares
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the mixture with its number of uses and what its source reaches."""
+    used, shares = mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return used.join(F.broadcast(shares.select("source", "target_share", "reached_share")), "source")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]

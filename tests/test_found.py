@@ -1,0 +1,122 @@
+import re
+from collections import defaultdict
+
+import pyarrow.parquet as pq
+import pytest
+
+import __spark_entry__ as entry
+
+D = "/root/testdata/sf0.001"
+
+
+def rows(table, d=D):
+    return pq.read_table(f"{d}/{table}.parquet").to_pylist()
+
+
+def got(spark, name, d=D):
+    return [tuple(r) for r in entry.queries()[name](spark, d).collect()]
+
+
+def test_all_nine_are_registered():
+    assert {int(re.match(r"p(\d)_", n)[1]) for n in entry.queries()} == set(range(1, 10))
+
+
+def test_p1_is_every_pair(spark):
+    sets = {}
+    for r in rows("chunks"):
+        w = frozenset(re.findall(r"[^\W_]+", (r["text"] or "").lower()))
+        if r["id"] and w:
+            sets[r["id"]] = w
+    ids = sorted(sets)
+    want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    found = got(spark, "p1_found")
+    assert want and set(found) == want and len(found) == len(want)
+
+
+def test_p2_is_every_group(spark):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in rows("pilot_decisions"):
+        if r["a"] and r["b"] and r["a"] != r["b"] and re.findall(r"[^\W_]+", (r["verdict"] or "").lower()) == ["same"]:
+            a, b = sorted((find(r["a"]), find(r["b"])))
+            root[b] = a
+    want = {(m, find(m)) for m in root}
+    found = got(spark, "p2_found")
+    assert want and set(found) == want and len(found) == len(want)
+
+
+def test_p2_follows_a_long_chain(spark):
+    from core.groups import components
+
+    chain = spark.createDataFrame([(f"m{i:03}", f"m{i + 1:03}") for i in range(150)], "u string, v string")
+    assert {(r.node, r.root) for r in components(chain).collect()} == {(f"m{i:03}", "m000") for i in range(151)}
+
+
+def test_p5_is_every_list(spark):
+    want = set()
+    for kind, table, item, k in (("passage", "passages", "chunk_id", 5), ("path", "paths", "path_id", 3)):
+        best = defaultdict(dict)
+        for r in rows(table):
+            if r["score"] is not None and r["score"] == r["score"]:
+                x = best[r["question_id"]]
+                x[r[item]] = max(x.get(r[item], r["score"]), r["score"])
+        want |= {(kind, q, i) for q, x in best.items() for i, _ in sorted(x.items(), key=lambda p: (-p[1], p[0]))[:k]}
+    found = got(spark, "p5_found")
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_p7_equals_the_rank_file(spark):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {r["doc_id"]: other.encode_ordinary(r["text"] or "") for r in rows("documents")}
+    found = got(spark, "p7_ids")
+    assert len(found) == len(want) and dict(found) == want
+
+
+def test_p8_keeps_repeats_and_shares(spark):
+    d = "/root/testdata/sf0.01"
+    most = {r["source"]: r["max_repeats"] for r in rows("mix_targets", d)}
+    text = {r["doc_id"]: r["text"] for r in rows("documents", d)}
+    used = entry.queries()["p8_mixture"](spark, d).collect()
+    assert len({r.doc_id for r in used}) == len(used)
+    assert all(0 < r.times <= most[r.source] and text[r.doc_id].strip() for r in used)
+    shares = entry.queries()["p8_shares"](spark, d).collect()
+    assert {r.source for r in shares} == set(most)
+    assert all(abs(r.reached_share - r.target_share) < 0.01 for r in shares)
+
+
+def test_p3_small_cases(spark):
+    from core.overlaps import same_questions, same_statements, named_sources
+
+    ev, title = [["Rome", "founded by", "X"]], ["Rome"]
+    h = "6d9ba53f4243ec3cc191e22a211596c7"
+    q = spark.createDataFrame(
+        [
+            (h, "Who founded Rome?", "single_hop", ev, title, None, "train"),
+            ("b", "By  whom was 'Rome' founded", "single_hop", ev, title, "{6D9BA53F-4243-EC3C-C191-E22A211596C7}", "test"),
+            ("c", "Wer hat Rome gegründet?", "single_hop", ev, title, None, "test"),
+            ("d", "Who destroyed Rome?", "single_hop", [["Rome", "destroyed by", "X"]], title, None, "dev"),
+            ("e", "Who founded Rome?", "single_hop", ev, title, None, None),
+        ],
+        "id string, question string, type string, evidences array<array<string>>, gold_titles array<string>, source_question_id string, split string",
+    )
+    assert [tuple(r) for r in same_questions(q).collect()] == [("question", h, "b")]
+    assert [tuple(r) for r in named_sources(q).collect()] == [("source", h, "b")]
+    texts = ["painter who sold the red bell in 1990", "Paintre who sold red bell in 1990, as stated", "printer who sold the red bell in 1990", "painter who sold the red bell in 1991", None]
+    m = spark.createDataFrame(
+        [("t", "Al", "tune", texts[0])] + [(f"r{i}", "Al", "report", x) for i, x in enumerate(texts)] + [("o", "Bo", "report", texts[0])]
+        + [(f"v{i}", f"n{i}", "tune", "painter printer") for i in range(9)],
+        "id string, name string, split string, description string",
+    )
+    assert {(r.id_a, r.id_b) for r in same_statements(m).collect()} == {("r0", "t"), ("r1", "t")}
