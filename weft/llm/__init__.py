@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["groups", "top_n", "tokens", "mixing"]
+MODULES = ["near_copies", "groups", "overlaps", "top_n", "tokens", "mixing"]
 
 
 def queries() -> dict:
