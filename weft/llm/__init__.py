@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["near_copies", "groups", "overlaps", "top_n", "tokens", "mixing"]
+MODULES = ["near_copies", "groups", "overlaps", "defects", "top_n", "links", "tokens", "mixing", "abuse"]
 
 
 def queries() -> dict:

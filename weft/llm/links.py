@@ -57,8 +57,10 @@ def forms(name: str, person: bool) -> set[tuple[str, ...]]:
 
 
 def points(ways: set[tuple[str, ...]]) -> list[tuple[str, str]]:
-    """A name as points of the metric space: each of its words in turn, in the block of the others, in whatever order; and all words as one."""
+    """A name as points of the metric space: each of its words in turn, in the block of the others, in whatever order; of three words and more
+    also the others together, in the block of one; and all words as one."""
     out = {(" ".join(sorted(w[:i] + w[i + 1 :])), w[i]) for w in ways for i in range(len(w))}
+    out |= {("+" + w[i], " ".join(w[:i] + w[i + 1 :])) for w in ways if len(w) > 2 for i in range(len(w)) if len(w[i]) > 3}
     return sorted(out | {("=", "".join(w)) for w in ways if len(w) > 1 or len(w[0]) > 7})
 
 
@@ -168,7 +170,8 @@ def linked(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     rows = mentions.where("id is not null and name is not null").select("id", "name", spelled(F.col("name")).alias("s")).distinct().where("s != ''")
     unknown = cut(rows.join(known.select("s").distinct(), "s", "left_anti"))
     typed = unknown.groupBy("s").agg(F.max("name").alias("m"))
-    radius = F.when(F.col("block") == "=", 0).when(F.length("core") >= 8, 2).when(F.length("core") >= 4, 1).otherwise(0)
+    # two swapped letters are two edits of the metric
+    radius = F.when(F.col("block") == "=", 0).when(F.length("core") >= 8, 4).when(F.length("core") >= 4, 2).otherwise(0)
     tp = cut(typed.select("s", "m", F.explode(typed_points("m")).alias("p")).select("s", "m", "p.block", "p.core").withColumn("r", radius))
     kp = known.select("id", "name", "person", F.explode(known_points("name", F.coalesce("person", F.lit(False)))).alias("p")).select("id", "name", "person", "p.block", "p.core")
     kp = cut(kp.join(tp.select("block").distinct(), "block", "left_semi"))  # only blocks that a query asks for
