@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.similarity import name_ratio, token_set_ratio
 from weft.functions.text import hash_percent, norm_name
+from weft.operators.components import reachable
 from weft.sources.tables import cut, drop
 
 TUNE_SHARE, FUZZY_MIN, NAME_GATE, EXACT_K, ENDPOINT_MIN = 30, 85.0, 60.0, 3, 90.0
@@ -68,35 +70,83 @@ def gated(pairs: DataFrame, a: str, b: str, least: float = NAME_GATE) -> DataFra
     return pairs.where(token_set_ratio(F.col(a), F.col(b)) >= least)
 
 
-def reachable(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(v, c): the component of every vertex (v) under edges (a, b), named by its least vertex; label propagation with pointer jumping until nothing changes."""
-    spark, kept = edges.sparkSession, []
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct(), kept)
-    label = cut(vertices.select("v", F.col("v").alias("c")).distinct(), kept)
-    while True:
-        near = both.join(label.select(F.col("v").alias("a"), "c"), "a").groupBy(F.col("b").alias("v")).agg(F.min("c").alias("m"))
-        low = label.join(near, "v", "left").select("v", "c", F.least("c", F.coalesce("m", "c")).alias("d"))
-        low = cut(low, kept)
-        up = low.select(F.col("v").alias("d"), F.col("d").alias("e"))
-        new = cut(low.join(up, "d", "left").select("v", F.col("c").alias("old"), F.least("d", F.coalesce("e", "d")).alias("c")), kept)
-        if new.where("old != c").isEmpty():
-            out = cut(new.select("v", "c"))
-            drop(spark, kept)
-            return out
-        label = new.select("v", "c")
-
-
-def constrained_clusters(mentions: DataFrame, same: DataFrame, different: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_one(rows: pd.DataFrame) -> pd.DataFrame:
+    """One component's merges, edge by edge: rows are (kind, a, b, cos), kind same, different or page (a is a mention, b its page's chunk)."""
+    page = {r.a: r.b for r in rows[rows.kind == "page"].itertuples()}
+    apart: dict[str, set[str]] = {}
+    for r in rows[rows.kind == "different"].itertuples():
+        apart.setdefault(r.a, set()).add(r.b)
+        apart.setdefault(r.b, set()).add(r.a)
+    same = rows[rows.kind == "same"].sort_values(["cos", "a", "b"], ascending=[False, True, True])
+    home = {v: v for v in [*same.a, *same.b]}
+    held = {v: [v] for v in home}
+    pages = {v: page.get(v) for v in home}
+    out = []
+    for r in same.itertuples():
+        x, y = home[r.a], home[r.b]
+        if x == y:
+            continue
+        if pages[x] and pages[y] and pages[x] != pages[y]:
+            out.append(("refused", r.a, r.b, "two_pages"))
+        elif any(home.get(o) == y for v in held[x] for o in apart.get(v, ())) if len(held[x]) <= len(held[y]) else any(home.get(o) == x for v in held[y] for o in apart.get(v, ())):
+            out.append(("refused", r.a, r.b, "cannot_link"))
+        else:
+            x, y = (x, y) if len(held[x]) >= len(held[y]) else (y, x)
+            for v in held[y]:
+                home[v] = x
+            held[x] += held.pop(y)
+            pages[x] = pages[x] or pages[y]
+    out += [("member", v, pages[x] or "m:" + min(held[x]), None) for x in held for v in held[x]]
+    return pd.DataFrame(out, columns=["kind", "a", "b", "reason"])
+
+
+def constrained_clusters(mentions: DataFrame, same: DataFrame, different: DataFrame, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(mention, cluster) of mentions (id, chunk_id, is_page), and (a, b, reason) of refused merges.
 
     same (a, b, cos) are merged in the order of falling cosine, then a and b; a merge is refused if both sides have a page of different chunks (two_pages) or
-    a different pair (a, b) between them (cannot_link). Exactly that order, without one task for a component: in each round every edge
-    that comes first among the edges at both of its clusters is decided, since no other can change either cluster before it. The number of
-    rounds is that of the longest chain of edges in falling order, a few dozen on cosines of models.
+    a different pair (a, b) between them (cannot_link). A cluster is named by its page's chunk, or m: and its least mention. Merges never leave a component of
+    the same pairs. One without a different pair inside and with one page at most can refuse nothing and is a cluster; of the others those of up to most
+    pairs are merged in one task each, larger ones in rounds of joins.
     """
-    spark = mentions.sparkSession
     kept: list[str] = []
     m = mentions.select("id", F.when(F.col("is_page"), F.col("chunk_id")).alias("page"))
+    ids = m.select("id")
+    edge = same.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").where("a != b").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    edge = cut(edge, kept)
+    ends = edge.select(F.col("a").alias("v")).union(edge.select("b")).distinct()
+    comp = reachable(edge, ends)
+    of = lambda c: comp.select(F.col("v").alias(c), F.col("c").alias(f"c{c}"))
+    diff = cut(different.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").where("ca = cb").select(F.col("ca").alias("c"), "a", "b"), kept)
+    paged = comp.join(m.withColumnRenamed("id", "v"), "v")
+    pages = paged.groupBy("c").agg(F.countDistinct("page").alias("pages"), F.min("page").alias("page"), F.min("v").alias("least"))
+    sizes = edge.join(of("a"), "a").groupBy(F.col("ca").alias("c")).agg(F.count("*").alias("pairs"))
+    kind = pages.join(sizes, "c").join(diff.select("c").distinct().withColumn("d", F.lit(True)), "c", "left")
+    kind = cut(kind.select("c", "page", "least", F.when((F.col("pages") <= 1) & F.col("d").isNull(), "free").when(F.col("pairs") <= most, "small").otherwise("large").alias("kind")), kept)
+    free = comp.join(kind.where("kind = 'free'"), "c").select(F.col("v").alias("mention"), F.coalesce("page", F.concat(F.lit("m:"), "least")).alias("cluster"))
+    small = kind.where("kind = 'small'").select("c")
+    rows = edge.join(of("a"), "a").select(F.col("ca").alias("c"), F.lit("same").alias("kind"), "a", "b", "cos").union(diff.select("c", F.lit("different"), "a", "b", F.lit(0.0))).union(paged.where("page is not null").select("c", F.lit("page"), F.col("v"), "page", F.lit(0.0)))
+    told = cut(rows.join(small, "c", "left_semi").groupBy("c").applyInPandas(merge_one, "kind string, a string, b string, reason string"), kept)
+    clusters = free.union(told.where("kind = 'member'").select("a", "b"))
+    refused = told.where("kind = 'refused'").select("a", "b", "reason")
+    large = kind.where("kind = 'large'").select("c")
+    if not large.isEmpty():
+        inside = cut(comp.join(large, "c", "left_semi"), kept)
+        some = m.join(inside.select(F.col("v").alias("id")), "id", "left_semi")
+        more, no = rounds_of_merges(some, edge, diff.select("a", "b"))
+        clusters, refused = clusters.union(more), refused.union(no)
+    alone = m.join(comp.select(F.col("v").alias("id")), "id", "left_anti").select(F.col("id").alias("mention"), F.coalesce("page", F.concat(F.lit("m:"), "id")).alias("cluster"))
+    clusters, refused = cut(clusters.union(alone)), cut(refused)
+    drop(mentions.sparkSession, kept)
+    return clusters, refused
+
+
+def rounds_of_merges(mentions: DataFrame, same: DataFrame, different: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of mentions (id, page), without one task for a component: in each round every edge that comes first among the edges at both of its
+    clusters is decided, since no other can change either cluster before it. The rounds are as many as the longest chain of edges in falling order.
+    """
+    spark = mentions.sparkSession
+    kept: list[str] = []
+    m = mentions.select("id", "page")
     label = cut(m.select("id", F.col("id").alias("c"), "page"), kept)
     rest = cut(same.join(m.select(F.col("id").alias("a")), "a").join(m.select(F.col("id").alias("b")), "b").groupBy("a", "b").agg(F.max("cos").alias("cos")).where("a != b"), kept)
     diff = different.select("a", "b").union(different.select("b", "a")).distinct()
