@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import words
+from weft.operators.components import composed, propagate
 from weft.sources.tables import cut, drop, table
 
 #: A frontier of so many vertices at most (8 bytes each) is broadcast; a larger one is joined by a shuffle.
@@ -45,28 +46,6 @@ def peel(edges: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame] | Non
     return inside, outside.select("u", F.when(F.col("in_v") == 1, F.lit(least)).otherwise(F.col("v")).alias("v"))
 
 
-def propagate(edges: DataFrame, kept: list[str]) -> list[DataFrame]:
-    """Minimum propagation on edges (u, v), either direction once at least; a list of (node, up) whose composition leads to the least vertex.
-
-    Each round every vertex takes the least of itself and its neighbours, follows that pointer eight steps by doubling, and
-    the edges are drawn again between the ends of the pointers. Ids are hashes, so that even a long chain shrinks to a third
-    or less in a round; the loop ends when no edge is left, whatever the number of rounds.
-    """
-    steps: list[DataFrame] = []
-    edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), kept)
-    while not edges.isEmpty():
-        both = edges.union(edges.select("v", "u"))
-        up = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("up")), kept)
-        for _ in range(3):
-            up = up.select("node", F.col("up").alias("mid")).join(up.select(F.col("node").alias("mid"), "up"), "mid").select("node", "up")
-        up = cut(up, kept)
-        steps.append(up)
-        at = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}2"))  # noqa: E731, B023
-        drawn = edges.join(at("u"), "u").join(at("v"), "v").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v"))
-        edges = cut(drawn.where("u < v").distinct(), kept)
-    return steps
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of the undirected edges (u, v), bigint; root is one vertex of the component, the same for all its vertices.
 
@@ -80,13 +59,7 @@ def components(edges: DataFrame) -> DataFrame:
         return both.select(F.col("u").alias("node"), F.col("v").alias("root"))
     inside, rest = peeled
     steps = propagate(rest, kept)
-    label = None
-    for up in reversed(steps):
-        if label is None:
-            label = up.select("node", F.col("up").alias("root"))
-        else:  # a pointer's end has a label from the later rounds, or was the least of its component
-            later = label.select(F.col("node").alias("up"), "root")
-            label = up.join(later, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
+    label = composed(steps)
     if label is None:
         out = inside
     else:
