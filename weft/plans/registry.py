@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = ["retrieval", "evaluation", "corpus", "resolution"]
+MODULES: list[str] = ["retrieval", "evaluation", "corpus", "resolution", "graph"]
 
 
 def queries() -> dict:
