@@ -13,8 +13,23 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from pyspark.sql import SparkSession
 
-    conf = {"spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"}
-    s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    conf = {"spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"}
+    s = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def duck():
+    """Runs SQL over the tables of a folder."""
+    import duckdb
+
+    def run(folder: str, sql: str):
+        c = duckdb.connect()
+        for p in Path(folder).glob("*.parquet"):
+            c.execute(f"create view {p.stem} as from '{p}'")
+        r = c.execute(sql)
+        return [x[0] for x in r.description], r.fetchall()
+
+    return run
