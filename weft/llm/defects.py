@@ -78,9 +78,9 @@ class Languages:
             size = Counter(len(g) for g in seen)
             self.logs[k] = {g: math.log((n + 0.3) / (by[len(g)] + 0.3 * size[len(g)])) for g, n in c.items()} | {i: math.log(0.3 / (by[i] + 0.3 * size[i])) for i in (1, 2, 3, 4)}  # type: ignore[dict-item]
 
-    def likelihoods(self, s: str) -> tuple[dict[str, float], int]:
+    def likelihoods(self, s: str, among: tuple[str, ...] = ()) -> tuple[dict[str, float], int]:
         gs = grams(s)
-        return {k: sum(m.get(g, m[len(g)]) for g in gs) for k, m in self.logs.items()}, len(gs)
+        return {k: sum(m.get(g, m[len(g)]) for g in gs) for k, m in self.logs.items() if not among or k in among}, len(gs)
 
     def other(self, s: str, own: str) -> bool:
         """Whether s is in another language than own, by the odds of its posterior (equal priors)."""
@@ -93,11 +93,17 @@ class Languages:
     def asked_in(self, question: str, among: tuple[str, ...] = ("en", "de", "fr")) -> str:
         """The language of a question, the first one unless another is clearly likelier; of a question all in small letters its first words tell."""
         s = " ".join(question.split()[:3]) if question == question.lower() else without_names(question)
-        ll, n = self.likelihoods(s)
+        ll, n = self.likelihoods(s, among)
         best = max(among, key=lambda k: ll[k])
         return best if n and ll[best] - ll[among[0]] > ODDS + ODDS_EACH * n**0.5 else among[0]
 
 
+@lru_cache(2)
+def fitted(texts: tuple[tuple[str, str], ...]) -> Languages:
+    """A worker fits the model once, however many tasks it runs."""
+    return Languages(dict(texts))
+
+
 @lru_cache(1)
 def refusals() -> tuple[dict[str, float], float]:
     """Log odds of words and word pairs that decline against those that answer, and of one that neither has."""
@@ -128,14 +134,15 @@ def bare(s: str) -> str:
 
 
 NAME = r"[A-ZÀ-ÞŁŚŻČŘŠŽ][\w'’-]*"
+RUN = re.compile(rf"{NAME}(?:(?:[ ]+|: | ?- )(?:(?:of|and|the|for|von|di|to|der|la|le|de|del|des) )*{NAME})*")
 
 
+@lru_cache(10_000)
 def without_names(s: str) -> str:
     """Without runs of capitalised words and the small words inside them. A lone capitalised word that opens a text in small letters is no name, nor is one that is said alone."""
     s = re.sub(r"\([^()]*\)", " ", s)
-    run = re.compile(rf"{NAME}(?:(?:[ ]+|: | ?- )(?:(?:of|and|the|for|von|di|to|der|la|le|de|del|des) )*{NAME})*")
     out, at = [], 0
-    for m in run.finditer(s):
+    for m in RUN.finditer(s):
         opens = not s[: m.start()].strip(" \"'*¿¡([") or s[: m.start()].rstrip()[-1:] in ".!?"
         words_ = m[0].split()
         if opens and len(words_) == 1 and re.match(r"[ ,]", s[m.end() :] or " "):
@@ -285,11 +292,11 @@ def defects(runs: DataFrame, texts: DataFrame, documents: DataFrame) -> DataFram
     stem = F.lower(F.trim(F.regexp_replace(F.regexp_replace("prediction", r"\s*\([^()]*\)\s*$", ""), r"^[*\"]+|[*\"]+$", "")))
     one = one.withColumn("n", stem).join(names.join(one.select(stem.alias("n")).distinct(), "n", "left_semi").distinct().withColumn("is_name", F.lit(True)), "n", "left")
     one = one.join(shares.select(F.col("last").alias("lp"), F.col("share").alias("sp")), "lp", "left").join(shares.select(F.col("last").alias("lr"), F.col("share").alias("sr")), "lr", "left")
-    fitted = language_texts(documents)
+    texts_of = tuple(sorted(language_texts(documents).items()))
 
     @F.pandas_udf(StringType())
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        model = Languages(fitted)
+        model = fitted(texts_of)
         text = lambda x: x if isinstance(x, str) else None
         number = lambda x: None if x is None or x != x else float(x)
         for b in batches:
