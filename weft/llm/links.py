@@ -14,9 +14,9 @@ from weft.llm.plain import folded, unleet
 from weft.sources.tables import cut, table
 
 #: A block of more points than this has pivots, one for so many points and MOST_PIVOTS at most; the radius join is exact with any.
-BLOCK, MOST_PIVOTS = 2000, 64
-#: So many pivots at most are broadcast.
-SMALL = 20_000
+BLOCK, MOST_PIVOTS = 20_000, 64
+#: So many pivots at most are broadcast, and so many block numbers (8 bytes each) that queries ask for; more are joined by a shuffle.
+SMALL, ASKED = 20_000, 2_000_000
 #: Titles, articles and descriptors that are no part of a name; fixed values.
 DROPPED = set("the of and mr mrs ms miss dr sir prof professor late dame lady lord country town city village capt captain rev inc est republic".split())
 #: Abbreviations of words in names of organisations; fixed values.
@@ -58,9 +58,12 @@ def forms(name: str, person: bool) -> set[tuple[str, ...]]:
 
 def points(ways: set[tuple[str, ...]]) -> list[tuple[str, str]]:
     """A name as points of the metric space: each of its words in turn, in the block of the others, in whatever order; of three words and more
-    also the others together, in the block of one; and all words as one."""
+    also the others together, in the block of either of the two longest; and all words as one."""
     out = {(" ".join(sorted(w[:i] + w[i + 1 :])), w[i]) for w in ways for i in range(len(w))}
-    out |= {("+" + w[i], " ".join(w[:i] + w[i + 1 :])) for w in ways if len(w) > 2 for i in range(len(w)) if len(w[i]) > 3}
+    for w in ways:
+        if len(w) > 2:
+            for i in sorted(range(len(w)), key=lambda k: (-len(w[k]), w[k]))[:2]:
+                out.add(("+" + w[i], " ".join(w[:i] + w[i + 1 :])))
     return sorted(out | {("=", "".join(w)) for w in ways if len(w) > 1 or len(w[0]) > 7})
 
 
@@ -77,28 +80,38 @@ def typed_points(names: pd.Series) -> pd.Series:
     return pd.Series([points({parts(n)}) if parts(n) else [] for n in names], dtype=object)
 
 
+def letters(x: str) -> Column:
+    """Which of the letters a to z a word has, as bits: its distances to the 26 words of one letter, less its length."""
+    return F.expr("cast(" + " + ".join(f"case when contains({{x}}, '{chr(97 + i)}') then {1 << i}L else 0L end" for i in range(26)).replace("{x}", x) + " as bigint)")
+
+
 def radius_join(typed: DataFrame, known: DataFrame) -> DataFrame:
     """(block, q, x): for each distinct point (block, core, r) of typed all points (block, core) of known within Levenshtein distance r, a true metric.
 
     A point's cell is its nearest pivot and its distance from it; in a small block the pivot is the empty word, the distance the length.
     A query q goes to a pivot p if d(q, p) <= d(q, nearest) + 2 r, and there to the distances d(q, p) - r to d(q, p) + r: by the
-    triangle inequality no point within r of it is elsewhere. Inside a cell every distance is computed. Blocks and cells are hashed
-    over the tasks; no block is collected.
+    triangle inequality no point within r of it is elsewhere. Inside a cell the one-letter words are pivots once more (their distances
+    change by r at most, so 2 r of the letter bits), then every distance left is computed. Blocks and cells are hashed
+    over the tasks; no block is collected. Radius 0 is equality.
     """
-    spark = known.sparkSession
-    x = known.select("block", "core").distinct()
+    equal = typed.where("r = 0").select("block", F.col("core").alias("q")).distinct().join(known.select("block", F.col("core").alias("q")).distinct(), ["block", "q"]).select("block", "q", F.col("q").alias("x"))
+    q = typed.where("r > 0").select("block", F.col("core").alias("q"), "r").distinct()
+    x = known.join(q.select("block").distinct(), "block", "left_semi").select("block", "core").distinct()
+    x = cut(x)
     big = x.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     place = Window.partitionBy("block").orderBy(F.xxhash64("core"), "core")
-    pivots = x.join(big, "block").withColumn("i", F.row_number().over(place)).where(F.col("i") <= MOST_PIVOTS).where(F.col("i") <= F.ceil(F.col("n") / BLOCK)).select("block", F.col("core").alias("pivot"))
+    pivots = x.join(big, "block").withColumn("i", F.row_number().over(place)).where(F.col("i") <= MOST_PIVOTS).where(F.col("i") <= F.ceil(F.col("n") / BLOCK)).select("block", F.col("core").alias("pivot"), "i")
     pivots = cut(pivots)
     pivots = F.broadcast(pivots) if pivots.count() <= SMALL else pivots
-    far = lambda df, c: df.join(pivots, "block", "left").select(*df.columns, F.coalesce("pivot", F.lit("")).alias("pivot")).withColumn("d", F.when(F.col("pivot") == "", F.length(c)).otherwise(F.levenshtein(c, F.col("pivot"))))
-    homes = far(x, F.col("core")).groupBy("block", "core").agg(F.min(F.struct("d", "pivot")).alias("h")).select("block", F.col("core").alias("x"), F.col("h.pivot").alias("pivot"), F.col("h.d").alias("ring"))
-    q = typed.select("block", F.col("core").alias("q"), "r").distinct()
+    far = lambda df, c: df.join(pivots, "block", "left").select(*df.columns, F.coalesce("i", F.lit(0)).alias("p"), F.when(F.col("i").isNull(), F.length(c)).otherwise(F.levenshtein(c, F.col("pivot"))).alias("d"))
+    # the distance and the pivot's number in one integer
+    homes = far(x, F.col("core")).groupBy("block", "core").agg(F.min(F.col("d") * 1000 + F.col("p")).alias("h"))
+    homes = homes.select("block", F.col("core").alias("x"), F.expr("h % 1000").alias("p"), F.expr("h div 1000").cast("int").alias("ring"), letters("core").alias("lx"))
     near = far(q, F.col("q"))
     least = near.groupBy("block", "q").agg(F.min("d").alias("least"))
-    visits = near.join(least, ["block", "q"]).where("d <= least + 2 * r").select("block", "q", "r", "pivot", F.explode(F.expr("sequence(d - r, d + r)")).alias("ring"))
-    return visits.join(homes, ["block", "pivot", "ring"]).where("levenshtein(q, x, r) between 0 and r").select("block", "q", "x")
+    visits = near.join(least, ["block", "q"]).where("d <= least + 2 * r").select("block", "q", "r", "p", letters("q").alias("lq"), F.explode(F.expr("sequence(d - r, d + r)")).alias("ring"))
+    met = visits.join(homes, ["block", "p", "ring"]).where("bit_count(lq ^ lx) <= 2 * r and levenshtein(q, x, r) between 0 and r").select("block", "q", "x")
+    return met.union(equal)
 
 
 def distance(a: str, b: str, most: int = 2) -> int:
@@ -170,11 +183,13 @@ def linked(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     rows = mentions.where("id is not null and name is not null").select("id", "name", spelled(F.col("name")).alias("s")).distinct().where("s != ''")
     unknown = cut(rows.join(known.select("s").distinct(), "s", "left_anti"))
     typed = unknown.groupBy("s").agg(F.max("name").alias("m"))
-    # two swapped letters are two edits of the metric
-    radius = F.when(F.col("block") == "=", 0).when(F.length("core") >= 8, 4).when(F.length("core") >= 4, 2).otherwise(0)
-    tp = cut(typed.select("s", "m", F.explode(typed_points("m")).alias("p")).select("s", "m", "p.block", "p.core").withColumn("r", radius))
-    kp = known.select("id", "name", "person", F.explode(known_points("name", F.coalesce("person", F.lit(False)))).alias("p")).select("id", "name", "person", "p.block", "p.core")
-    kp = cut(kp.join(tp.select("block").distinct(), "block", "left_semi"))  # only blocks that a query asks for
+    # two swapped letters are two edits of the metric, three with another slip
+    radius = F.when(F.col("block") == "=", 0).when(F.length("core") >= 8, 3).when(F.length("core") >= 4, 2).otherwise(0)
+    number = lambda df: df.withColumn("block", F.xxhash64("block"))
+    tp = cut(number(typed.select("s", "m", F.explode(typed_points("m")).alias("p")).select("s", "m", "p.block", "p.core").withColumn("r", radius)))
+    kp = number(known.select("id", "name", "person", F.explode(known_points("name", F.coalesce("person", F.lit(False)))).alias("p")).select("id", "name", "person", "p.block", "p.core"))
+    blocks = tp.select("block").distinct()
+    kp = cut(kp.join(F.broadcast(blocks) if blocks.limit(ASKED + 1).count() <= ASKED else blocks, "block", "left_semi"))  # only blocks that a query asks for
     met = cut(radius_join(tp, kp))
     pairs = met.join(tp.select("s", "m", "block", F.col("core").alias("q")), ["block", "q"]).join(kp.select("id", "name", "person", "block", F.col("core").alias("x")), ["block", "x"])
     rated = pairs.select("s", "m", "id", "name", "person").distinct().withColumn("r", agreement("m", "name", "person")).where("r > 0").groupBy("s", "id").agg(F.max("r").alias("r"))
