@@ -13,12 +13,11 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from weft.functions.text import words
 from weft.sources.tables import cut, table
 
-#: A word's weight is ln(N / df) + FLOOR, CEILING at most: words that a few texts have, names and slips of the pen alike, weigh the same.
-FLOOR, CEILING = 0.05, 4.0
-#: Samples of a band, and bands. A pair of weighted similarity s meets with 1 - (1 - s^ROWS)^BANDS: 0.99998 at s = 0.7, 0.97 at 0.6.
-ROWS, BANDS = 7, 128
-#: Least weighted similarity of a pair that is looked at further; true pairs of the test data have 0.61 and more.
-WEIGHTED_MIN = 0.5
+#: A word's weight is ln(N / df), within these bounds: names and slips of the pen, which few texts have, weigh the same, and words of a group of
+#: copies that holds a large part of the corpus still weigh a third of them.
+FLOOR, CEILING = 1.0, 3.0
+#: Samples of a band, and bands. A pair of weighted similarity s meets with 1 - (1 - s^ROWS)^BANDS: 0.9995 at s = 0.7, 0.99 at 0.66.
+ROWS, BANDS = 8, 128
 #: A bucket of more texts than this is divided by rare words, which loses no pair.
 BUCKET = 64
 
@@ -64,7 +63,7 @@ def signatures(bands: int, rows: int):
                 if not len(b):
                     continue
                 words_, dfs = [np.asarray(x, np.int64) for x in b["w"]], [np.asarray(x, np.int64) for x in b["df"]]
-                weigh = lambda df: np.minimum(np.log(total / df) + FLOOR, CEILING).astype(np.float32)  # noqa: E731, B023
+                weigh = lambda df: np.clip(np.log(total / df), FLOOR, CEILING).astype(np.float32)  # noqa: E731, B023
                 total = float(b["total"].iloc[0])
                 own = weigh(np.float64(1))
                 parts_w, parts_v = [], []
@@ -129,12 +128,16 @@ def near_sets(sets: DataFrame, num: int, den: int, bands: int = BANDS, rows: int
     left, right = (full.select("b", "t", F.col("k").alias(f"k{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
     many = left.join(right, ["b", "t"]).where(f"ka < kb and na * {den} >= nb * {num} and nb * {den} >= na * {num}").select("ka", "kb")
     pairs = cut(two.union(some).union(many).distinct())
-    side = lambda s: weighted.select(F.col("k").alias(f"k{s}"), F.col("w").alias(f"w{s}"), F.col("df").alias(f"d{s}"), "total" if s == "a" else F.lit(0).alias("x"))
-    mass = lambda d: F.aggregate(d, F.lit(0.0), lambda acc, x: acc + F.least(F.log(F.col("total") / x) + FLOOR, F.lit(CEILING)))
-    both = pairs.join(side("a"), "ka").join(side("b"), "kb")
-    both = both.withColumn("common", F.array_intersect("wa", "wb")).withColumn("dc", F.expr("transform(filter(arrays_zip(wa, da), z -> array_contains(common, z.wa)), z -> z.da)"))
-    both = both.where(mass(F.col("dc")) >= WEIGHTED_MIN * (mass(F.col("da")) + mass(F.col("db")) - mass(F.col("dc"))))
-    return both.where(f"size(common) * {den + num} >= (size(wa) + size(wb)) * {num}").select("ka", "kb")
+    # the weight in thousandths takes the last 12 bits of a word's hash, so that what two sets have in common brings its weights along
+    weight = lambda df: F.greatest(F.lit(FLOOR), F.least(F.lit(CEILING), F.log(F.col("total") / df)))
+    packed = F.transform(F.arrays_zip("w", "df"), lambda z: F.shiftleft(F.shiftright(z["w"], 12), 12).bitwiseOR((weight(z["df"]) * 1000).cast("bigint")))
+    side = lambda s: weighted.select(F.col("k").alias(f"k{s}"), packed.alias(f"p{s}"))
+    mass = lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda acc, x: acc + x.bitwiseAND(4095))
+    both = pairs.join(side("a"), "ka").join(side("b"), "kb").withColumn("pc", F.array_intersect("pa", "pb"))
+    # no pair of the rule has less: at worst all common words have the least weight and all others the greatest
+    least = num * FLOOR / (num * FLOOR + (den - num) * CEILING) - 0.001
+    both = both.where(mass(F.col("pc")) >= least * (mass(F.col("pa")) + mass(F.col("pb")) - mass(F.col("pc"))))
+    return both.where(f"size(pc) * {den + num} >= (size(pa) + size(pb)) * {num}").select("ka", "kb")
 
 
 def classes(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
