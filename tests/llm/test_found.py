@@ -71,7 +71,7 @@ def test_full_buckets_lose_no_pair(spark):
     sets = spark.createDataFrame(rows, "k bigint, w array<bigint>")
     a, b = ({tuple(r) for r in near_copies.near_sets(sets, 7, 10, bucket=s).collect()} for s in (64, 2))
     want = {(x, y) for x, p in rows for y, q in rows if x < y and len({*p} & {*q}) * 10 >= 7 * len({*p} | {*q})}
-    assert a == b == want
+    assert a == b <= want and len(a) >= 0.9 * len(want)  # what the bands meet is by chance, what a full bucket keeps is not
 
 
 def test_copy_groups(spark):
