@@ -137,6 +137,24 @@ def test_defects_of_answers():
     assert say(q, "Oslo", "Oslo\n\nThis follows from the par", raw_share=None) == "truncated"
 
 
+def test_usual_ends_of_answers_stay_complete_in_large_tables(spark, tmp_path):
+    """300 times no and as many explanations that begin with it; a corpus that has the word often, never at an end."""
+    d = made(tmp_path / "t", lambda t: t)
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).toPandas().to_parquet(f"{d}/{name}.parquet")
+    said = [(i, "Are Ann and Bob from the same country?", "no", "no", f"no, because the page P{i} says something else.") for i in range(300)]
+    said += [(900, "Who founded Old Mill?", "Ann Lee", "Ann Lee, because the", "Ann Lee, because the")]
+    put("run_m1_generation", said, "answer_id long, question string, answer string, prediction string, raw string")
+    put("chunks", [(f"c{i}", f"T{i}", "There was no bridge on the river, no road and no mill there.") for i in range(500)], "id string, title string, text string")
+    assert {tuple(r) for r in llm.queries()["p4_found"](spark, d).collect()} == {(900, "truncated")}
+
+
+def test_end_shares_of_answers_and_corpus(spark):
+    texts = [("no", 300, True), ("no, she is", 300, True), ("no way", 90_000, False), ("Velmora", 1, False), ("it was in Velmora", 3, False)]
+    df = spark.createDataFrame(texts, "text string, times long, said boolean")
+    asked = spark.createDataFrame([("no",), ("it",), ("Velmora",), ("unseen",)], "last string")
+    assert {r.last: r.share for r in defects.end_shares(df, asked).collect()} == {"no": 0.5, "it": 0.0, "Velmora": 1.0}
+
+
 def test_top_n_of_uneven_groups(spark):
     rows = [("g", f"i{i:04}", float(i % 7)) for i in range(900)] + [("h", "a", 1.0), (None, "b", 2.0), ("t", None, 1.0), ("t", "x", 1.0)]
     df = spark.createDataFrame(rows, "q string, item string, score double").withColumn("n", F.lit(5))

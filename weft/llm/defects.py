@@ -196,12 +196,16 @@ def last_word(text: Column) -> Column:
 
 
 def end_shares(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """(last, share): of each word asked for, how many of its occurrences in the complete texts (text) are their last word."""
+    """(last, share): of each word asked for, how many of its occurrences in the complete texts (text, times, said) are their last word.
+
+    times is how often a text is given, said whether it is of answers. Answers and the corpus are counted apart and the higher share holds:
+    a corpus of any size doesn't make a usual end of answers ("no") unusual.
+    """
     token = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}\p{M}_'’]+"), F.lit(0))
     kind = lambda w: F.when(w.rlike(r"^\d{4}$"), "<year>").when(w.rlike(r"^\d+$"), "<number>").otherwise(w)
-    at = texts.where("text is not null").select(F.posexplode(token).alias("i", "w"), F.size(token).alias("n")).select(kind(F.col("w")).alias("last"), (F.col("i") == F.col("n") - 1).cast("long").alias("e"))
-    count = at.groupBy("last").agg(F.sum("e").alias("ends"), F.count("*").alias("all"))
-    return count.join(asked.select("last").distinct(), "last", "left_semi").select("last", (F.col("ends") / F.col("all")).alias("share"))
+    at = texts.where("text is not null").select("said", "times", F.posexplode(token).alias("i", "w"), F.size(token).alias("n")).select("said", "times", kind(F.col("w")).alias("last"), F.when(F.col("i") == F.col("n") - 1, F.col("times")).otherwise(0).alias("e"))
+    count = at.groupBy("last", "said").agg(F.sum("e").alias("ends"), F.sum("times").alias("all")).groupBy("last").agg(F.max(F.col("ends") / F.col("all")).alias("share"))
+    return count.join(asked.select("last").distinct(), "last", "left_semi")
 
 
 def sentences(text: Column) -> Column:
@@ -209,18 +213,24 @@ def sentences(text: Column) -> Column:
 
 
 def complete_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names and titles, gold answers, and sentences with a full stop. Other answers only lend their sentences that end in one."""
+    """(text, times, said): names and titles, gold answers, and sentences with a full stop. Other answers only lend their sentences that end in one.
+
+    Gold answers count as often as they are given, as the sentences of answers do: else their share falls as the table grows. Questions
+    that an answer gives back are no ends of answers.
+    """
     t = lambda n: table(spark, sf_dir, n)
     bare_title = lambda c: F.regexp_replace(F.regexp_replace(c, r"#[0-9a-f]{8}$", ""), r"\s*\([^()]*\)\s*$", "")
     runs = t("run_m1_generation")
-    names = [runs.select("answer"), t("questions").select("answer"), t("questions").select(F.explode("gold_titles").alias("g")).select(bare_title(F.col("g"))), t("entities").select("name"), t("hub_entities").select("name"), t("chunks").select(bare_title(F.col("title")))]
-    stopped = [t("chunks").select(sentences(F.col("text"))), runs.select(sentences(F.col("raw")))]
+    gold = [runs.select("answer"), t("questions").select("answer")]
+    names = [t("questions").select(F.explode("gold_titles").alias("g")).select(bare_title(F.col("g"))), t("entities").select("name"), t("hub_entities").select("name"), t("chunks").select(bare_title(F.col("title")))]
+    stopped = [(t("chunks").select(sentences(F.col("text"))), False), (runs.select(sentences(F.col("raw"))), True)]
     out = None
-    for n in names:
-        n = n.toDF("text").distinct()
+    for n, said in [(n, True) for n in gold] + [(n, False) for n in names]:
+        n = n.toDF("text").groupBy("text").agg((F.count("*") if said else F.lit(1).cast("long")).alias("times")).withColumn("said", F.lit(said))
         out = n if out is None else out.union(n)
-    for s in stopped:
-        out = out.union(s.toDF("text").where(F.col("text").rlike(r"\w{3,}[.!?][*\"”]*\s*$")))
+    for s, said in stopped:
+        end = r"\w{3,}[.!][*\"”]*\s*$" if said else r"\w{3,}[.!?][*\"”]*\s*$"
+        out = out.union(s.toDF("text").where(F.col("text").rlike(end)).select("text", F.lit(1).cast("long"), F.lit(said)))
     return out
 
 
@@ -280,7 +290,7 @@ def own_words(question: str, answer: str) -> set[str]:
 def defects(runs: DataFrame, texts: DataFrame, documents: DataFrame) -> DataFrame:
     """(answer_id, defect) of the defective answers among runs (answer_id, question, answer, prediction, raw), repeated rows counting once.
 
-    texts (text) are complete texts, from all of which the ends of words are counted; documents (doc_id, text, lang) lend the language
+    texts (text, times, said) are complete texts, from all of which the ends of words are counted; documents (doc_id, text, lang) lend the language
     model a bounded sample. Null raw and prediction are an empty answer if both are; a null question or gold answer is as an empty one.
     """
     cols = ["question", "answer", "prediction", "raw"]
