@@ -103,6 +103,28 @@ def test_overlaps(spark):
     assert {tuple(r) for r in overlaps.overlaps(questions, mentions).collect()} == {("mention", "1", "2"), ("question", "a", "b"), ("source", "0" * 31 + "a", "s")}
 
 
+def test_overlaps_of_rows_that_lack_something_or_are_written_otherwise(spark):
+    hexa = "0123456789abcdef" * 2
+    q = [("sh_01", "Q1?", "train", "single_hop", ["T1"], [["T1", "x", "U"]], None, None), ("s1", "Q2?", "test", "single_hop", ["T2"], [["T2", "x", "U"]], None, " {SH-01} ")]  # an id that is not of 32 digits
+    q += [(hexa, "Q3?", "train", "single_hop", ["T3"], [["T3", "x", "U"]], None, None), ("s2", "Q4?", "test", "single_hop", ["T4"], [["T4", "x", "U"]], None, f"{hexa.upper()} (train)")]
+    q += [("r1", "Who directed A?", "train", "single_hop", ["A"], None, "director", None), ("r2", "Name the director of A.", "dev", "single_hop", ["A"], [["A", "director", "U"]], "director", None)]
+    q += [("w1", "Which came first, B or C?", "train", "comparison", ["B", "C"], None, None, None), ("w2", "which came first: B or C", "test", "comparison", ["C", "B"], [["B", "date"], ["C", "date", "1900"], None, []], None, None), ("w3", "Are B and C alike?", "test", "comparison", ["B", "C"], None, None, None)]
+    q += [("d1", "Nenne den Regisseur von D.", "train", "compositional", ["D"], [["D", "director", "U"]], None, None), ("d2", "Wer führte Regie bei D?", "dev", "compositional", ["D"], [["D", "director", "U"]], None, None), ("d3", "Who directed D?", "dev", "compositional", ["D"], [["D", "director", "U"]], None, None)]
+    q += [("h1", "Who directed Der Hat?", "train", "compositional", ["Der Hat"], [["Der Hat", "director", "U"]], None, None), ("h2", "Who was the director?", "dev", "compositional", ["Der Hat"], [["Der Hat", "director", "U"]], None, None)]
+    questions = spark.createDataFrame(q, "id string, question string, split string, type string, gold_titles array<string>, evidences array<array<string>>, relation string, source_question_id string")
+    m = [("1", "Ann\u00a0Lee", "tune", "The one here."), ("2", "ann lee", "report", "the one here"), ("3", "Ann Lee", "report", "..."), ("4", "Ann Lee", "tune", "...")]
+    m += [("5", "Bob", "tune", "editor of the 1892, 1905 and 12,500 copy sets"), ("6", "Bob", "report", "editor of the 1892 1905 and 12500 copy sets")]
+    mentions = spark.createDataFrame(m, "id string, name string, split string, description string")
+    want = {("source", "s1", "sh_01"), ("source", hexa, "s2"), ("question", "r1", "r2"), ("question", "w1", "w2"), ("question", "d1", "d2"), ("question", "h1", "h2"), ("mention", "1", "2"), ("mention", "5", "6")}
+    assert {tuple(r) for r in overlaps.overlaps(questions, mentions).collect()} == want
+
+
+def test_ids_of_other_forms_stay_apart(spark):
+    ids = ["a-1", "A_1", "{a 1}", "a1", "a-1-2", "a-12", "--", "-- ", " "]
+    df = spark.createDataFrame([(x,) for x in ids], "x string").select(overlaps.id_key(F.col("x")).alias("k"))
+    assert [r.k for r in df.collect()] == ["a_1", "a_1", "a_1", "a1", "a_1_2", "a_12", "--", "--", ""]
+
+
 def test_crowded_blocks_lose_no_pair(spark, monkeypatch):
     import random
 

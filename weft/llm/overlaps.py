@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from weft.functions.text import words
 from weft.sources.tables import cut, table
 
-#: Question words and verbs of questions by language; fixed values.
-GERMAN = "wer wann wo welche welcher welches wurde hat ist vater mutter regie geführt gegründet geboren bei aus".split()
-FRENCH = "qui quand où quel quelle est père mère fondé réalisé né née mort composé".split()
+#: Question words, verbs and small words of questions by language; fixed values.
+ENGLISH = "who whom whose what when where which why how was were is are did does do has had the of or and from by for to in on at first same born name tell director directed".split()
+GERMAN = "wer wen wem wessen wann wo woher welche welcher welches welchem welchen wie wurde wurden war hat haben ist sind starb kam nenne nennen der die das den dem des ein eine einen einer von vom zu zum zur im am mit für und oder vater mutter regie regisseur geführt gegründet geboren bei aus".split()
+FRENCH = "qui quand où quel quelle quels quelles quoi comment est sont était a ont été le la les un une de du des d l et ou par pour dans en au aux nommez père mère fondé fondée réalisé réalisateur né née mort morte composé".split()
 #: Words that a description may have or not without stating anything else, and their usual slips; fixed values.
 SLIGHT = "a an the one here teh hte th te".split()
 #: N-grams of a record, at most, in a block of few and of many records.
@@ -23,15 +24,24 @@ SMALL = 2_000_000
 VOCABULARY = 0.001
 
 
-def language(text: Column) -> Column:
-    w = words(text)
-    has = lambda known: F.arrays_overlap(w, F.array(*map(F.lit, known)))
-    return F.when(has(GERMAN), "de").when(has(FRENCH), "fr").otherwise("en")
+def language(text: Column, names: Column) -> Column:
+    """en, de or fr by the most words of questions, names (words) left out; en if another one has no more."""
+    w = F.array_except(words(text), names)
+    en, de, fr = (F.size(F.array_intersect(w, F.array(*map(F.lit, known)))) for known in (ENGLISH, GERMAN, FRENCH))
+    return F.when((de > en) & (de >= fr), "de").when(fr > en, "fr").otherwise("en")
 
 
 def hex_id(x: Column) -> Column:
-    """An id without braces, hyphens, blanks and prefixes: its last 32 hexadecimal digits; empty if it has fewer."""
-    return F.regexp_extract(F.regexp_replace(F.lower(x), r"[^0-9a-z]", ""), r"([0-9a-f]{32})$", 1)
+    """An id without braces, hyphens, blanks and prefixes: its last 32 hexadecimal digits, or the 32 that stand alone in it; empty if it has fewer."""
+    last = F.regexp_extract(F.regexp_replace(F.lower(x), r"[^0-9a-z]", ""), r"([0-9a-f]{32})$", 1)
+    alone = F.regexp_extract(F.lower(x), r"(?<![0-9a-z])([0-9a-f]{32}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})(?![0-9a-z])", 1)
+    return F.when(last != "", last).otherwise(F.regexp_replace(alone, "-", ""))
+
+
+def id_key(x: Column) -> Column:
+    """An id in one way of writing: hex_id, or if it is of another form lower case without what surrounds it, blanks, hyphens and underscores alike."""
+    inner = F.regexp_replace(F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"[\s\p{Z}_-]+", "_")
+    return F.when(hex_id(x) != "", hex_id(x)).when(inner != "", inner).otherwise(F.regexp_replace(x, r"[\s\p{Z}]+", ""))
 
 
 def gram_hashes(most: Column) -> tuple[Column, Column]:
@@ -85,31 +95,38 @@ def slips(wa: str, wb: str, vocabulary: Column) -> Column:
 
 
 def statement(text: Column) -> Column:
-    """The words that carry a description's statement, numbers without separators."""
+    """The words that carry a description's statement, numbers without separators; all of its words if none but slight ones are in it."""
     x = F.regexp_replace(F.lower(text), r"\(see text\)|,? as stated\W*$", " ")
-    x = F.regexp_replace(x, r"(?<=\d)\s*,\s*(?=\d{3})", "")
-    return F.filter(words(x), lambda w: ~w.isin(SLIGHT))
+    x = F.regexp_replace(x, r"(?<=(?<!\d)\d{1,3}|,\d{3})\s*,\s*(?=\d{3}(?!\d))", "")
+    carrying = F.filter(words(x), lambda w: ~w.isin(SLIGHT))
+    return F.when(F.size(carrying) > 0, carrying).otherwise(words(text))
 
 
 def records(questions: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(kind, id, train, block, w, exact): what is compared. Rows without what they need (null id, split, titles, name, description ...) are left out.
+    """(kind, id, train, block, w, exact): what is compared. A row without what a kind needs (id, split; titles; name, description) is in no pair of that kind.
 
-    question: the titles, relations and language that a question is about, in any order of a comparison's sides. source: an id in its one
-    way of writing. mention: the words of the description, within the name.
+    question: the titles, relations and language that a question is about, in any order of a comparison's sides; and its wording with the
+    titles, by which questions without evidences meet too. source: an id in its one way of writing. mention: the words of the description,
+    within the name.
     """
     q = questions.where("id is not null")
     asked = F.array_sort(F.array_distinct(F.filter("gold_titles", lambda x: x.isNotNull())))
-    path = F.array_sort(F.transform(F.filter("evidences", lambda e: e[1].isNotNull()), lambda e: e[1]))
-    fact = F.concat(F.array(language(F.col("question"))), path, asked)
+    path = F.array_sort(F.filter(F.transform(F.coalesce("evidences", F.array()), lambda e: F.get(e, 1)), lambda r: r.isNotNull()))
+    if "relation" in q.columns:  # the one of a single hop
+        path = F.when((F.size(path) == 0) & F.col("relation").isNotNull(), F.array("relation")).otherwise(path)
+    named_in = F.concat(asked, F.flatten(F.transform(F.coalesce("evidences", F.array()), lambda e: F.array(F.get(e, 0), F.get(e, 2)))))
+    own_language = F.array(language(F.col("question"), F.coalesce(words(F.array_join(named_in, " ")), F.array().cast("array<string>"))))
     no_block = F.lit(0).cast("bigint")
-    facts = q.where("split in ('train', 'dev', 'test') and gold_titles is not null and evidences is not null").select(F.lit("question").alias("kind"), "id", (F.col("split") == "train").alias("train"), no_block.alias("block"), fact.alias("w"), F.lit(True).alias("exact"))
-    ids = F.array(hex_id(F.col("source_question_id")))
-    named = q.where("type = 'single_hop' and split = 'test' and source_question_id is not null").select(F.lit("source"), "id", F.lit(False), no_block, ids, F.lit(True))
-    own = q.where("split = 'train'").select(F.lit("source"), "id", F.lit(True), no_block, F.array(hex_id(F.col("id"))), F.lit(True))
-    name = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
-    told = mentions.where("id is not null and split in ('tune', 'report') and name is not null and description is not null")
+    held = q.where("split in ('train', 'dev', 'test')").withColumn("asked", asked).where("size(asked) > 0")
+    held = held.select("id", (F.col("split") == "train").alias("train"), "asked", path.alias("path"), own_language.alias("own"), words(F.col("question")).alias("said"))
+    facts = held.where("size(path) > 0").select(F.lit("question").alias("kind"), "id", "train", no_block.alias("block"), F.concat("own", "path", "asked").alias("w"), F.lit(True).alias("exact"))
+    worded = held.where("size(said) > 0").select(F.lit("question"), "id", "train", no_block, F.concat(F.array(F.lit("worded")), "said", "asked"), F.lit(True))
+    named = q.where(r"type = 'single_hop' and split = 'test' and source_question_id rlike '[^\\s\\p{Z}]'").select(F.lit("source"), "id", F.lit(False), no_block, F.array(id_key(F.col("source_question_id"))), F.lit(True))
+    own = q.where(r"split = 'train' and id rlike '[^\\s\\p{Z}]'").select(F.lit("source"), "id", F.lit(True), no_block, F.array(id_key(F.col("id"))), F.lit(True))
+    name = F.lower(F.trim(F.regexp_replace("name", r"[\s\p{Z}]+", " ")))
+    told = mentions.where(r"id is not null and split in ('tune', 'report') and name is not null and description rlike '[\\p{L}\\p{N}]'")
     told = told.select(F.lit("mention"), "id", (F.col("split") == "tune"), F.xxhash64(name), statement(F.col("description")), F.lit(False))
-    return facts.union(named).union(own).union(told).where("size(w) > 0 and w[0] != ''")
+    return facts.union(worded).union(named).union(own).union(told)
 
 
 def overlaps(questions: DataFrame, mentions: DataFrame) -> DataFrame:
