@@ -1,7 +1,9 @@
 """Operators against brute force and exact small cases."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -174,3 +176,47 @@ def test_streams(spark, tmp_path):
     q = inc.spending(spark.readStream.schema(led.schema).parquet(f"{tmp_path}/led")).writeStream.format("memory").queryName("spent").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("spent").first().cost_usd == 0.75
+
+
+def brute_bm25(chunks, questions, k):
+    bags = {i: Counter(t.split()) for i, t in chunks}
+    sizes = {i: sum(b.values()) for i, b in bags.items()}
+    mean = sum(sizes.values()) / len(sizes)
+    df = Counter(w for b in bags.values() for w in b)
+    raw = {w: math.log(len(bags) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: 0.25 * sum(raw.values()) / len(raw) if r < 0 else r for w, r in raw.items()}
+    out = set()
+    for q, text in questions:
+        words = Counter(w for w in text.split() if w in idf)
+        score = {i: round(sum(idf[w] * b[w] * 2.5 / (b[w] + 1.5 * (0.25 + 0.75 * sizes[i] / mean)) * n for w, n in words.items()), 8) for i, b in bags.items() if set(b) & set(words)}
+        score |= {i: 0.0 for i in sorted(bags)[:k] if i not in score}
+        out |= {(q, i, score[i], r) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:k], 1)}
+    return out
+
+
+def test_bm25_in_blocks(spark):
+    random.seed(8)
+    text = lambda lo, hi: " ".join(random.choice("the of was film henry agnes w1 w2 w3 w4 w5 w6 w7 w8 w9".split()[: random.choice((3, 6, 15))]) for _ in range(random.randint(lo, hi)))
+    chunks, questions = [(f"c{i:03}", text(0, 12)) for i in range(300)], [(f"q{i:02}", text(0, 5)) for i in range(40)] + [("qx", "unheard"), ("qy", "w9 w9 the")]
+    below = [("0", "e"), ("1", "a b f g c"), ("2", "a b f g"), ("3", "a b f g")], [("q", "a"), ("r", "a c"), ("s", "e")]  # its mean of all, and so the weight of a, is below 0
+    for rows, ask, k in ((chunks, questions, 7), (*below, 2)):
+        c, q = spark.createDataFrame(rows, "id string, text string"), spark.createDataFrame(ask, "question_id string, question string")
+        for words, common in ((100_000, 0.002), (700, 0.1), (100_000, 2.0)):
+            got = retrieval.bm25(c, F.col("text"), q, k, words, common)
+            assert {(r.question_id, r.chunk_id, round(r.score, 8), r["rank"]) for r in got.collect()} == brute_bm25(rows, ask, k)
+
+
+def shuffled_rows(spark):
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bm25_moves_no_row_for_each_chunk_of_a_question(spark):
+    chunks = spark.range(2000).selectExpr("cast(id as string) as id", "concat('the film of a', id % 50, ' was') as text")
+    asked = spark.range(100).selectExpr("cast(id as string) as question_id", "concat('who was the film of a', id % 60) as question")
+    before = shuffled_rows(spark)
+    assert retrieval.bm25(chunks, F.col("text"), asked, 5).count() == 500
+    assert shuffled_rows(spark) - before < 20_000

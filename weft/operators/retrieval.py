@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.similarity import dot
 from weft.functions.text import token_count, tokens
+from weft.operators.lexical import asked_blocks, best_of, block_words, known_blocks, text_blocks, unpack
+from weft.sources.tables import cut
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
+EPSILON = 0.25
 #: Digits that scores are compared by, so that the order of a sum doesn't decide ties.
 DIGITS = 8
+#: Words of a block of chunks, questions of a block, blocks that meet at least; the share of all pairs of question and chunk from which a word is common.
+BLOCK_WORDS, ASKED, CELLS, COMMON = 8_000_000, 30_000, 12, 0.002
 
 
 def ranked(rows: DataFrame, group: str, score: str, item: str, k: int | None = None) -> DataFrame:
@@ -26,29 +31,48 @@ def postings(chunks: DataFrame, text: Column) -> DataFrame:
 
 
 def term_weights(post: DataFrame, n_docs: Column, totals: DataFrame) -> DataFrame:
-    """(term, df, idf): Okapi's, where a negative one is replaced by EPSILON times the mean of all, negative ones included."""
-    raw = post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals)).withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """(term, df, idf) of postings; totals has what n_docs needs."""
+    return weights(post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals)), n_docs)
+
+
+def weights(terms: DataFrame, n_docs: Column) -> DataFrame:
+    """(term, df, idf) of terms (term, df): Okapi's, where a negative one is replaced by EPSILON times the mean of all, negative ones included."""
+    raw = terms.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(chunks: DataFrame, text: Column, questions: DataFrame, k: int) -> DataFrame:
-    """(question_id, chunk_id, score, rank): the k best chunks of each question (question_id, question) by Okapi BM25.
+def bm25(chunks: DataFrame, text: Column, questions: DataFrame, k: int, words: int = BLOCK_WORDS, common: float = COMMON) -> DataFrame:
+    """(question_id, chunk_id, score, rank): the k best chunks of each question (question_id, question; one row each) by Okapi BM25.
 
-    A word counts as often as the question has it. Postings meet query terms by a hashed join with partial sums; chunks that no word of a
-    question meets follow with score 0 in the order of their ids, as far as k asks for them.
+    A word counts as often as the question has it. Blocks of chunks, of so many words, meet blocks of questions, whose best of a block best_of() takes
+    without a row for every chunk that some word of a question is in. Chunks that no word meets follow with score 0 in the order of their ids, as far as k
+    asks for them. A word is common if pairs of a question and a chunk that have it are that share and more of all pairs.
     """
-    post = postings(chunks, text)
-    totals = chunks.select(F.size(tokens(text)).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean_len"))
-    weight = term_weights(post, F.col("docs"), totals)
-    asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    part = post.join(weight.join(asked.select("term").distinct(), "term", "left_semi"), "term").join(F.broadcast(totals))
-    part = part.select("term", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))).alias("s"))
-    got = asked.join(part, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("s") * F.col("times")), DIGITS).alias("score"))
-    best = ranked(got, "question_id", "score", "chunk_id", k)
-    few = questions.select("question_id").distinct().join(best.groupBy("question_id").agg(F.count("*").alias("n")), "question_id", "left").where(f"coalesce(n, 0) < {k}").select("question_id")
-    rest = few.join(F.broadcast(chunks.select(F.col("id").alias("chunk_id")).orderBy("id").limit(k))).join(best, ["question_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(best.drop("rank").unionByName(rest), "question_id", "score", "chunk_id", k)
+    spark = chunks.sparkSession
+    blocks = cut(chunks.select("id", tokens(text).alias("t")).mapInArrow(text_blocks, "texts binary, words binary, n bigint, n_words bigint"))
+    size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
+    ask = questions.select(F.col("question_id").alias("id"), F.coalesce(tokens(F.col("question")), F.array().cast("array<string>")).alias("t"))
+    n_asked = questions.count()
+    df = cut(blocks.select("words").mapInArrow(block_words, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")))
+    asked = ask.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("asked"))
+    known = weights(df, F.lit(size.docs)).join(asked, "term").select("term", "idf", (F.col("df").cast("double") * F.col("asked")).alias("pairs")).toArrow().combine_chunks()
+    idf = known["idf"].to_numpy()
+    shared = (idf > 0) & (known["pairs"].to_numpy() >= common * size.docs * n_asked) & (min([0.0, *idf]) >= 0)
+    given = spark.sparkContext.broadcast((known["term"].combine_chunks(), idf, shared, pa.array([r.id for r in chunks.select("id").orderBy("id").limit(k).collect()], pa.string())))
+
+    d, q = max(1, -(-size.words // words)), max(1, -(-n_asked // ASKED))
+    q = max(q, -(-CELLS // d))
+    mean = size.words / max(1, size.docs)
+    docs = blocks.select("texts", "words").mapInArrow(lambda x: known_blocks(x, given.value[0], mean, given.value[3], d), "d int, texts binary").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
+    bags = ask.mapInArrow(lambda x: asked_blocks(x, *given.value[:3], q), "q int, asked binary").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
+    cells = [x.repartition(2 * d * q, "d", "q").groupBy("d", "q") for x in (docs, bags)]
+
+    def cell(x: pa.Table, y: pa.Table) -> pa.Table:
+        return best_of(unpack(x["texts"]), unpack(y["asked"]), k) if x.num_rows and y.num_rows else pa.table({"question_id": pa.array([], pa.string()), "chunk_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+
+    got = cells[0].cogroup(cells[1]).applyInArrow(cell, "question_id string, chunk_id string, score double")
+    return ranked(got.withColumn("score", F.round("score", DIGITS)), "question_id", "score", "chunk_id", k)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 16) -> DataFrame:
