@@ -220,3 +220,22 @@ def test_bm25_moves_no_row_for_each_chunk_of_a_question(spark):
     before = shuffled_rows(spark)
     assert retrieval.bm25(chunks, F.col("text"), asked, 5).count() == 500
     assert shuffled_rows(spark) - before < 20_000
+
+
+def test_fuzzy_names_of_any_length_in_parts(spark):
+    random.seed(3)
+    base = ["".join(random.choices("abcdéfgh ж", k=k)) for k in (1, 2, 5, 12, 20, 63, 64, 65, 130) for _ in range(3)]
+    names = {b[:i] + c + b[i + d :] for b in base for i in (0, len(b) // 2, len(b)) for c in ("", "x", "yz") for d in (0, 1)} - {""}
+    want = {(x, y, S.ratio(x, y)) for x, y in itertools.combinations(sorted(names), 2) if S.ratio(x, y) >= 85}
+    rows = spark.createDataFrame([(n,) for n in [*names, *base, "", None]], "norm string")
+    for part in (100_000, len(names) // 8):
+        got = [tuple(r) for r in resolution.fuzzy_names(rows, part=part).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_fuzzy_names_move_no_row_for_each_pair(spark):
+    random.seed(6)
+    names = ["".join(random.choices("aeioubdgklmnrst", k=9)) + " broadcasting company" for _ in range(1500)]
+    before = shuffled_rows(spark)
+    resolution.fuzzy_names(spark.createDataFrame([(n,) for n in names], "norm string")).count()
+    assert shuffled_rows(spark) - before < 3 * 1500

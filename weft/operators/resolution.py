@@ -6,12 +6,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.similarity import name_ratio, token_set_ratio
+from weft.functions.similarity import token_set_ratio
 from weft.functions.text import hash_percent, norm_name
 from weft.operators.components import reachable
+from weft.operators.name_pairs import name_blocks, near_in_cell
 from weft.sources.tables import cut, drop
 
 TUNE_SHARE, FUZZY_MIN, NAME_GATE, EXACT_K, ENDPOINT_MIN = 30, 85.0, 60.0, 3, 90.0
+#: Parts of names that meet each other at least; names of a part at most.
+PARTS, PART_NAMES = 6, 100_000
 
 
 def types_compatible(a: Column, b: Column) -> Column:
@@ -42,23 +45,17 @@ def built_mentions(extracted: DataFrame, titles: DataFrame) -> DataFrame:
     return e.withColumn("r", r).where("norm != '' and (r = 1 or is_page)").select(F.concat("chunk_id", F.lit("::"), "pos").alias("id"), "chunk_id", "norm", "type", "is_page")
 
 
-def fuzzy_names(names: DataFrame, least: float = FUZZY_MIN) -> DataFrame:
+def fuzzy_names(names: DataFrame, least: float = FUZZY_MIN, part: int = PART_NAMES) -> DataFrame:
     """(x, y, ratio), x < y: distinct names (norm) whose common-subsequence ratio is at least that.
 
-    Names of a and b letters with ratio r are (a + b)(1 - r / 100) insertions and deletions apart, n (200 / r)(1 - r / 100) at most for a name of n letters, and
-    each touches two of its pairs of letters: of that many rarest pairs and one more in either name one is common (prefix filter, exact).
-    The built-in edit distance, never more than the insertions and deletions, takes most of what meets before the ratio is computed.
+    Names are in parts, and every two parts meet in one task, where signatures that lose no pair leave few pairs for the ratio: what is shuffled
+    is names x parts, no row for each pair. A part has so many names at most, and there are PARTS at least.
     """
-    one = names.select("norm").distinct().where("norm != ''").withColumn("n", F.length("norm"))
-    gram = one.select("norm", "n", F.explode(F.expr("array_distinct(transform(sequence(1, n + 1), i -> substr(concat('#', norm, '$'), i, 2)))")).alias("g"))
-    freq = gram.groupBy("g").agg(F.count("*").alias("f"))
-    order = gram.join(F.broadcast(freq) if freq.limit(100_001).count() <= 100_000 else freq, "g").groupBy("norm", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))
-    edits = F.floor(F.col("n") * 200.0 / least * (1 - least / 100) + 1e-9)
-    pre = cut(order.select("norm", "n", F.explode(F.slice("s", F.lit(1), (edits * 2 + 1).cast("int"))).alias("x")).select("norm", "n", F.col("x.g").alias("g")))
-    a, b = pre.select("g", F.col("norm").alias("x"), F.col("n").alias("nx")), pre.select("g", F.col("norm").alias("y"), F.col("n").alias("ny"))
-    near = a.join(b, "g").where((F.col("x") < F.col("y")) & (F.least("nx", "ny") * 200.0 >= least * (F.col("nx") + F.col("ny"))))
-    near = near.where(f"levenshtein(x, y, cast(floor((nx + ny) * {1 - least / 100:.6f} + 1e-9) as int)) >= 0").select("x", "y").distinct()
-    return near.withColumn("ratio", name_ratio("x", "y")).where(F.col("ratio") >= least)
+    one = cut(names.select("norm").distinct().where("norm != ''"))
+    n = max(PARTS, -(-one.count() // part))
+    blocks = one.mapInArrow(lambda x: name_blocks(x, n), "g int, names binary").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = blocks.withColumns({"i": F.least("g", "h"), "j": F.greatest("g", "h")}).repartition(n * (n + 1), "i", "j").groupBy("i", "j")
+    return cells.applyInArrow(lambda key, rows: near_in_cell(rows, key[0].as_py(), key[1].as_py(), least), "x string, y string, ratio double")
 
 
 def knn_pairs(top: DataFrame, t_low: float) -> DataFrame:
